@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkledger.llm import exact_dedup, jaccard, language, lm, mixing, pieces, quality, toxicity, warc
+from inkledger.llm import exact_dedup, jaccard, language, lm, mixing, pieces, quality, substrings, toxicity, warc
 from inkledger.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_ngram_jaccard, op5_quality_rules, op6_warc, op7_sentencepiece, op8_toxicity, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_ngram_jaccard, op4_substring_dedup, op5_quality_rules, op6_warc, op7_sentencepiece, op8_toxicity, op9_exact_dedup, op10_mixing)}
 
 
 OP3_SQL = r"""
@@ -71,6 +75,20 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id
 GROUP BY d.doc_id, n.n
 """
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i+49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM s),
+c AS (SELECT doc_id, list(i) AS starts FROM m WHERE first < doc_id GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(starts, lambda i: range(i, i + 50)))) AS p FROM c),
+r AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+k AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+         CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_sort(list_where(range(1, len(ws) + 1), list_transform(range(1, len(ws) + 1), lambda x: NOT list_contains(gone, x)))), lambda x: ws[x]) END AS kept
+  FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words::bigint AS n_words, n_removed::bigint AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -111,4 +129,4 @@ FROM c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_ngram_jaccard": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
