@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkledger.functions.text import let
+
 
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -68,8 +70,7 @@ def half_turn_box(box: Column, wide: Column, high: Column) -> Column:
 
 def following(points: Column) -> Column:
     """Each point's successor, the first one after the last."""
-    n = F.size(points)
-    return F.when(n > 0, F.concat(F.slice(points, 2, F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1))).otherwise(points)
+    return F.transform(points, lambda p, i: F.get(points, (i + 1) % F.size(points)))
 
 
 def total(values: Column) -> Column:
@@ -78,7 +79,7 @@ def total(values: Column) -> Column:
 
 def signed_area(points: Column) -> Column:
     """Positive for clockwise as seen with y down."""
-    return total(F.zip_with(points, following(points), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2
+    return let(points, lambda ps: total(F.zip_with(ps, following(ps), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2)
 
 
 def polygon_area(points: Column) -> Column:
@@ -89,11 +90,13 @@ def clip_half(points: Column, keep, cross) -> Column:
     """The part of a polygon where keep(point) >= 0."""
 
     def edge(p: Column, q: Column) -> Column:
-        a, b = keep(p), keep(q)
-        met = F.array(cross(p, q, a / F.nullif(a - b, F.lit(0.0))))
-        return F.when((a >= 0) & (b >= 0), F.array(q)).when((a >= 0) & (b < 0), met).when((a < 0) & (b >= 0), F.concat(met, F.array(q))).otherwise(F.slice(F.array(q), 1, 0))
+        def joined(k: Column) -> Column:
+            met = F.array(cross(p, q, k[0] / F.nullif(k[0] - k[1], F.lit(0.0))))
+            return F.when((k[0] >= 0) & (k[1] >= 0), F.array(q)).when((k[0] >= 0) & (k[1] < 0), met).when((k[0] < 0) & (k[1] >= 0), F.concat(met, F.array(q))).otherwise(F.slice(F.array(q), 1, 0))
+
+        return let(F.array(keep(p), keep(q)), joined)
 
-    return F.flatten(F.zip_with(points, following(points), edge))
+    return let(points, lambda ps: F.flatten(F.zip_with(ps, following(ps), edge)))
 
 
 def between(p: Column, q: Column, share: Column) -> Column:
@@ -109,10 +112,12 @@ def clip_to_frame(points: Column, wide: Column, high: Column) -> Column:
 
 def clip_convex(points: Column, quad: Column) -> Column:
     """A polygon inside a convex quadrilateral of either winding."""
-    turn = F.signum(signed_area(quad))
     for k in range(4):
-        a, b = quad[k], quad[(k + 1) % 4]
-        side = lambda p, a=a, b=b: turn * ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+
+        def side(p: Column, k: int = k) -> Column:
+            a, b = quad[k], quad[(k + 1) % 4]
+            return F.signum(signed_area(quad)) * ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]))
+
         points = clip_half(points, side, between)
     return points
 
@@ -152,8 +157,11 @@ def centre(points: Column) -> Column:
 
 
 def bounds(points: Column) -> Column:
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    def box(ps: Column) -> Column:
+        xs, ys = F.transform(ps, lambda p: p["x"]), F.transform(ps, lambda p: p["y"])
+        return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+
+    return let(points, box)
 
 
 def is_convex(quad: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import geometry as g
+from inkledger.functions.text import let
 
 DIAGNOSTIC, REPORTED = 0.1, (0.5, 0.75, 0.9)
 SUPPRESS = 0.5
@@ -39,17 +40,26 @@ def pairs(preds: Column, truths: Column, least: float, iou=g.box_iou) -> Column:
 
 def greedy_match(preds: Column, truths: Column, least: float = DIAGNOSTIC, iou=g.box_iou) -> Column:
     """One-to-one pairs by overlap, best first."""
-    ordered = pairs(preds, truths, least, iou)
-    empty = F.filter(ordered, lambda x: F.lit(False))
-    return F.aggregate(ordered, empty, lambda acc, x: F.when(F.exists(acc, lambda y: (y["p"] == x["p"]) | (y["t"] == x["t"])), acc).otherwise(F.concat(acc, F.array(x))))
+
+    def pick(ordered: Column) -> Column:
+        free = lambda acc, x: ~F.exists(acc, lambda y: (y["p"] == x["p"]) | (y["t"] == x["t"]))
+        return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+
+    return let(pairs(preds, truths, least, iou), pick)
 
 
 def suppress(dets: Column, least: float = SUPPRESS, iou=g.box_iou) -> Column:
     """Detections (struct with score and box) that overlap no better one kept before; ties keep their order."""
     keyed = F.array_sort(F.transform(dets, lambda d, i: F.struct((-d["score"]).alias("s"), i.alias("i"), d.alias("d"))))
-    ordered = F.transform(keyed, lambda k: k["d"])
-    empty = F.filter(ordered, lambda x: F.lit(False))
-    return F.aggregate(ordered, empty, lambda acc, x: F.when(F.exists(acc, lambda y: iou(x["box"], y["box"]) >= least), acc).otherwise(F.concat(acc, F.array(x))))
+
+    def pick(ordered: Column) -> Column:
+        return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: iou(x["box"], y["box"]) >= least), acc).otherwise(F.concat(acc, F.array(x))))
+
+    return let(F.transform(keyed, lambda k: k["d"]), pick)
+
+
+def reaching(least: float):
+    return lambda m: m["iou"] >= least
 
 
 def score_scenes(scenes: DataFrame, iou=g.box_iou) -> DataFrame:
@@ -61,7 +71,7 @@ def score_scenes(scenes: DataFrame, iou=g.box_iou) -> DataFrame:
     done = have.withColumn("matches", greedy_match(F.col("preds"), F.col("truths"), DIAGNOSTIC, iou))
     for at in REPORTED:
         k = f"{round(100 * at)}"
-        done = done.withColumn(f"tp_{k}", F.size(F.filter("matches", lambda m, at=at: m["iou"] >= at)))
+        done = done.withColumn(f"tp_{k}", F.size(F.filter("matches", reaching(at))))
         done = done.withColumn(f"fp_{k}", F.size("preds") - F.col(f"tp_{k}"))
     done = done.withColumn("n_truth", F.size("truths")).withColumn("n_pred", F.size("preds"))
     return done.withColumn("perfect", (F.col("tp_50") == F.col("n_truth")) & (F.col("fp_50") == 0))
@@ -97,7 +107,8 @@ def deformation_groups(kinds: Column) -> Column:
 
 def attribute_breakdown(rows: DataFrame, groups: dict[str, Column], measures: list[Column]) -> DataFrame:
     """attribute, label and measures, from array-valued groupings that may overlap."""
-    pairs_ = F.flatten(F.array(*[F.transform(labels, lambda x, n=name: F.struct(F.lit(n).alias("attribute"), x.alias("label"))) for name, labels in groups.items()]))
+    named = lambda name: lambda x: F.struct(F.lit(name).alias("attribute"), x.alias("label"))
+    pairs_ = F.flatten(F.array(*[F.transform(labels, named(name)) for name, labels in groups.items()]))
     return rows.withColumn("g", F.explode(pairs_)).select("*", "g.attribute", "g.label").groupBy("attribute", "label").agg(*measures)
 
 
@@ -110,19 +121,24 @@ def top_quartile(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def reading_order(boxes: Column) -> Column:
     """Indexes of boxes by rows: a row takes boxes within half a median height of its first centre; inside it goes left to right."""
-    info = F.transform(boxes, lambda b, i: F.struct(((b[1] + b[3]) / 2).alias("y"), i.alias("i"), ((b[0] + b[2]) / 2).alias("x"), (b[3] - b[1]).alias("h")))
-    heights = F.array_sort(F.transform(info, lambda s: s["h"]))
-    n = F.size(heights)
-    middle = lambda k: F.element_at(heights, k.cast("int"))
-    tall = F.when(n > 0, (middle(F.floor((n + 1) / 2)) + middle(F.floor(n / 2) + 1)) / 2)
-    start = F.struct(F.lit(float("-inf")).cast("double").alias("first"), F.lit(0).alias("row"), F.transform(F.slice(info, 1, 0), lambda s: F.struct(F.lit(0).alias("row"), s["x"].alias("x"), s["i"].alias("i"))).alias("out"))
+    info = F.array_sort(F.transform(boxes, lambda b, i: F.struct(((b[1] + b[3]) / 2).alias("y"), i.alias("i"), ((b[0] + b[2]) / 2).alias("x"), (b[3] - b[1]).alias("h"))))
+
+    def tall(hs: Column) -> Column:
+        at = lambda k: F.get(hs, k.cast("int"))
+        return (at(F.floor((F.size(hs) - 1) / 2)) + at(F.floor(F.size(hs) / 2))) / 2
+
+    def rows(s: Column) -> Column:
+        none = F.slice(F.transform(s["info"], lambda e: F.struct(F.lit(0).alias("row"), e["x"].alias("x"), e["i"].alias("i"))), 1, 0)
+        start = F.struct(F.lit(float("-inf")).alias("first"), F.lit(0).alias("row"), none.alias("out"))
+
+        def step(acc: Column, e: Column) -> Column:
+            new = e["y"] - acc["first"] > 0.5 * s["tall"]
+            row = acc["row"] + F.when(new, 1).otherwise(0)
+            return F.struct(F.when(new, e["y"]).otherwise(acc["first"]).alias("first"), row.alias("row"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), e["x"].alias("x"), e["i"].alias("i")))).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["y"] - acc["first"] > 0.5 * tall
-        row = acc["row"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, s["y"]).otherwise(acc["first"]).alias("first"), row.alias("row"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), s["x"].alias("x"), s["i"].alias("i")))).alias("out"))
+        return F.aggregate(s["info"], start, step, lambda acc: F.transform(F.array_sort(acc["out"]), lambda o: o["i"]))
 
-    return F.transform(F.array_sort(F.aggregate(F.array_sort(info), start, step)["out"]), lambda s: s["i"])
+    return let(let(info, lambda es: F.struct(es.alias("info"), let(F.array_sort(F.transform(es, lambda e: e["h"])), tall).alias("tall"))), rows)
 
 
 def corner_records(matched: DataFrame) -> DataFrame:
@@ -145,7 +161,7 @@ def confident(quads: Column, supports: Column) -> Column:
 
     def one(q: Column, i: Column) -> Column:
         aspect = g.long_side(q) / F.greatest(g.short_side(q), F.lit(1.0))
-        apart = F.forall(quads, lambda o, q=q: F.struct(o).eqNullSafe(F.struct(q)) | (g.quad_intersection(q, o) <= 0.01 * F.least(g.polygon_area(q), g.polygon_area(o))))
+        apart = F.forall(quads, lambda o: F.struct(o).eqNullSafe(F.struct(q)) | (g.quad_intersection(q, o) <= 0.01 * F.least(g.polygon_area(q), g.polygon_area(o))))
         sides = F.get(supports, i)
         return aspect.between(1.9, 2.8) & F.coalesce(F.forall(sides, lambda s: s >= 0.7), F.lit(False)) & apart
 

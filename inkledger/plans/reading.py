@@ -44,12 +44,13 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (4, 7) THEN NULL WHEN o_orderkey
 def parse_amount_words(spark, sf_dir):
     p = read(spark, sf_dir, "part").withColumn("c", cents_of(F.col("p_retailprice")))
     d, c = F.floor(F.col("c") / 100).cast("int"), (F.col("c") % 100).cast("int")
-    words = t.spell_dollars(d)
+    p = p.withColumn("words", t.spell_dollars(d))
+    words = F.col("words")
     text = by_style(
         F.col("p_partkey"), F.concat(F.lit("***"), F.upper(words), F.format_string(" AND %02d/100***", c)), F.concat(F.initcap(words), F.format_string(" & %02d/100", c)), F.concat(words, F.lit(" dollars and no/100")),
         F.concat(F.upper(words), F.format_string(" DOLLARS AND %02d CENTS", c)), F.concat(words, F.lit(" and xx/100")), words, F.concat(F.lit("five twenty "), words),
     )
-    return p.select("p_partkey", t.parse_amount_words(text).alias("cents"))
+    return p.withColumn("text", text).select("p_partkey", t.parse_amount_words(F.col("text")).alias("cents"))
 
 
 PARSE_AMOUNT_WORDS = """

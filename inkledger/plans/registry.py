@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkledger.plans import reading
+from inkledger.plans import layout, reading
 
-PAIRS = {**reading.PAIRS}
+PAIRS = {**reading.PAIRS, **layout.PAIRS}
 
 
 def queries():
