@@ -271,14 +271,14 @@ def label_lines(spark, sf_dir):
 
 
 def near_duplicate_pairs(spark, sf_dir):
-    got = near_duplicates.near_pairs(read(spark, sf_dir, "embeddings"), "label", 0.85)
+    got = near_duplicates.near_pairs(read(spark, sf_dir, "embeddings"), "label", 0.4)
     return got.select("a", "b", F.round("score", 5).alias("score"))
 
 
 NEAR_DUPLICATE_PAIRS = """
 WITH v AS (SELECT vec_id, label, embedding::double[] AS e FROM embeddings),
 p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS s FROM v x JOIN v y ON x.label IS NOT DISTINCT FROM y.label AND x.vec_id < y.vec_id)
-SELECT a, b, round(s, 5) AS score FROM p WHERE s >= 0.85
+SELECT a, b, round(s, 5) AS score FROM p WHERE s >= 0.4
 """
 
 
