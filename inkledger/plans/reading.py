@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkledger.functions import text as t
-from inkledger.operators import breakdowns, combination, field_gate, gating, scoring
+from inkledger.operators import breakdowns, combination, field_gate, gating, scoring, selection
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -466,6 +466,40 @@ def ctc_decode(spark, sf_dir):
 
 CTC_DECODE = r"SELECT o_orderkey, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(o_orderkey::varchar, '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g'), '7+', '7', 'g'), '8+', '8', 'g'), '9+', '9', 'g'), '0', '') AS decoded FROM orders"
 
+def config_grid(spark, sf_dir):
+    rows = event_rows(spark, sf_dir).withColumn("config", F.format_string("psm%d", F.col("event_id") % 13))
+    got = selection.best_config(rows, ["field_name"], "config")
+    return rounded(got, ("accuracy", "cer"), 9)
+
+
+CONFIG_GRID = EVENTS + """, g AS (SELECT field_name, 'psm' || (event_id % 13) AS config, avg(field_correct::int) AS accuracy, avg(cer) AS cer, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY field_name ORDER BY accuracy DESC, cer, config) AS k FROM g)
+SELECT field_name, config, round(accuracy, 9) AS accuracy, round(cer, 9) AS cer, n FROM r WHERE k = 1
+"""
+
+
+def router_table(spark, sf_dir):
+    e = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select("event_type", (e % 3 > 0).alias("a"), (e % 4 > 0).alias("b"), (e % 7 / F.lit(7.0)).alias("ca"), (e % 5 / F.lit(5.0)).alias("cb"), (F.col("user_id") % 2 == 0).alias("hand"))
+    a, b = F.col("a"), F.col("b")
+    choices = {"a": a, "b": b, "most_confident": F.when(F.col("ca") >= F.col("cb"), a).otherwise(b), "by_style": F.when(F.col("hand"), b).otherwise(a), "either": a | b}
+    return rounded(selection.router_table(rows, choices, ["event_type"]), ("accuracy",), 9)
+
+
+ROUTER_TABLE = """
+WITH r AS (SELECT event_type, event_id % 3 > 0 AS a, event_id % 4 > 0 AS b, event_id % 7 / 7.0::double AS ca, event_id % 5 / 5.0::double AS cb, user_id % 2 = 0 AS hand FROM events),
+x AS (SELECT event_type, unnest(['a', 'b', 'most_confident', 'by_style', 'either']) AS choice, unnest([a, b, CASE WHEN ca >= cb THEN a ELSE b END, CASE WHEN hand THEN b ELSE a END, a OR b]) AS ok FROM r)
+SELECT event_type, choice, count(*) AS n, round(avg(ok::int), 9) AS accuracy FROM x GROUP BY ALL
+"""
+
+
+def method_table(spark, sf_dir):
+    return selection.method_table(event_rows(spark, sf_dir), ["signup", "error", "click", "view", "purchase"])
+
+
+METHOD_TABLE = EVENTS + "SELECT method_label, " + ", ".join(f"round(100 * avg(field_correct::int) FILTER (field_name = '{f}'), 3) AS {f}" for f in ("signup", "error", "click", "view", "purchase")) + " FROM e GROUP BY method_label"
+
+
 #: name: (query, SQL or none)
 PAIRS = {
     "reading_accuracy": (reading_accuracy, READING_ACCURACY),
@@ -497,4 +531,7 @@ PAIRS = {
     "field_gate": (field_gate_query, FIELD_GATE),
     "tsv_rows": (tsv_rows, TSV_ROWS),
     "ctc_decode": (ctc_decode, CTC_DECODE),
+    "config_grid": (config_grid, CONFIG_GRID),
+    "router_table": (router_table, ROUTER_TABLE),
+    "method_table": (method_table, METHOD_TABLE),
 }
