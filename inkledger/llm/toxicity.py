@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from inkledger.llm.common import Words, slices, stash
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
-#: A term is in at least so many toxic documents, with so many words before it, and this share of its documents is toxic.
-TERM_DOCS, TERM_CONTEXTS, TERM_PURITY = 4, 4, 0.93
-TERMS = 4000
+#: A term is in at least so many, and this share, of the sampled toxic documents, has so many words before it, and this share of its documents is toxic.
+TERM_DOCS, TERM_SHARE, TERM_CONTEXTS, TERM_PURITY = 4, 0.01, 4, 0.93
+TERMS = 1000
 STEM_LENGTHS = range(4, 8)
 #: Shorter terms are not matched with an edit.
 EDIT_LENGTH = 5
@@ -53,6 +53,8 @@ PRIOR_DOCS, NO_HIT = 2.0, 0.01
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "+": "t"})
 QUOTES = "\"'“”„«»‘’‹›"
 CUES = frozenset("quote quoted quotes quoting said says wrote writes called word words term terms zitat zitiert sagte wort cité citation dit mot cita dijo palabra".split())
+EDGES = QUOTES + ".,;:?()[]{}|#*%&<>-"
+DOUBLED = re.compile(r"(.)\1+")
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
 
@@ -73,26 +75,36 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
+    @staticmethod
+    def exact(node: dict | None, word: str, at: int) -> str | None:
+        """The term that the rest of the word ends at, without further edits."""
+        for c in word[at:]:
+            if node is None:
+                return None
+            node = node.get(c)
+        return node.get("") if node else None
+
     def within_one(self, word: str) -> str | None:
-        """A term one edit or swap of neighbours away: walk the trie with the automaton's row of distances."""
-        n = len(word)
-        first = tuple(range(n + 1))
-        stack = [(self.root, "", first, first)]
-        while stack:
-            node, last, row, above = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[n] == 1:
-                        return child
-                    continue
-                new = [row[0] + 1]
-                for k in range(1, n + 1):
-                    d = min(row[k] + 1, new[k - 1] + 1, row[k - 1] + (word[k - 1] != c))
-                    if k > 1 and last and word[k - 1] == last and word[k - 2] == c:
-                        d = min(d, above[k - 2] + 1)
-                    new.append(d)
-                if min(new) <= 1:
-                    stack.append((child, c, tuple(new), row))
+        """A term one edit or swap of neighbours away.
+
+        The automaton has states without an edit, which follow the trie as far as the word does, and states with one, which must match to the end.
+        """
+        node, n = self.root, len(word)
+        for at in range(n + 1):
+            c = word[at] if at < n else ""
+            tries = [self.exact(node, word, at + 1)] if c else []
+            if at + 1 < n and word[at + 1] != c:
+                tries.append(self.exact(node.get(word[at + 1], {}).get(c), word, at + 2))
+            for other, child in node.items():
+                if other:
+                    tries.append(self.exact(child, word, at))
+                    if c and other != c:
+                        tries.append(self.exact(child, word, at + 1))
+            if found := next((t for t in tries if t and t != word), None):
+                return found
+            node = node.get(c) if c else None
+            if node is None:
+                return None
         return None
 
 
@@ -104,24 +116,37 @@ class Matcher:
         long = tuple(w for w in lexicon.words if len(w) >= EDIT_LENGTH)
         self.trie = Trie(long)
         self.lengths = {len(w) + d for w in long for d in (-1, 0, 1)}
-        # one edit or swap leaves a term's start or its end as it is
-        self.heads = {w[: len(w) // 2 - 1] for w in long}
-        self.tails = {w[len(w) // 2 + 1 :] for w in long}
+        # one edit leaves a term's first or second half as it is; swaps of neighbours are few enough to list
+        self.heads = {w[: len(w) // 2] for w in long}
+        self.tails = {w[len(w) // 2 :] for w in long}
+        self.swaps = {w[:k] + w[k + 1] + w[k] + w[k + 2 :] for w in long for k in range(len(w) - 1)} - set(lexicon.words)
         self.head_lengths, self.tail_lengths = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        self.firsts = {w[0] for w in lexicon.words}
         self.known: dict[bytes, int] = {}
 
     def of_word(self, w: str) -> int:
         if w in self.words:
             return EXACT
-        if any(w[:n] in self.stems for n in self.stem_lengths if n <= len(w)):
-            return STEM
+        for n in self.stem_lengths:
+            if w[:n] in self.stems:
+                return STEM
         return NONE
 
     def misspelt(self, w: str) -> bool:
-        if len(w) not in self.lengths:
-            return False
-        if not (any(w[:n] in self.heads for n in self.head_lengths) or any(w[len(w) - n :] in self.tails for n in self.tail_lengths)):
+        if w in self.swaps:
+            return True
+        size = len(w)
+        if size not in self.lengths:
             return False
+        for n in self.head_lengths:
+            if w[:n] in self.heads:
+                break
+        else:
+            for n in self.tail_lengths:
+                if w[size - n :] in self.tails:
+                    break
+            else:
+                return False
         return self.trie.within_one(w) is not None
 
     def kind(self, token: bytes) -> int:
@@ -133,26 +158,30 @@ class Matcher:
         return found
 
     def classify(self, token: str) -> int:
+        core = token.strip(EDGES)
+        if core.isalpha():
+            return self.of_word(core) or self.near(core)
         parts = LETTERS.findall(token)
         kinds = [k for p in parts if (k := self.of_word(p))]
         if kinds:
             return min(kinds)
-        core = token.strip("".join(QUOTES) + ".,;:?()[]{}|#*%&<>-")
-        if len(core) >= 4 and not (parts and core == parts[0]):
-            plain = core.translate(LEET)
-            plain = "".join(LETTERS.findall(plain))
-            if plain != "".join(parts) and self.of_word(plain) == EXACT or len(parts) > 1 and len(core) < 24 and self.of_word("".join(parts)) == EXACT:
+        if len(core) >= 4 and parts:
+            plain, joined = "".join(LETTERS.findall(core.translate(LEET))), "".join(parts)
+            if plain != joined and self.of_word(plain) == EXACT or len(parts) > 1 and self.of_word(joined) == EXACT:
                 return DISGUISED
-            if len(core) in self.lengths and any(not c.isalpha() for c in core) and parts and self.trie.within_one(core):
+            if len(core) in self.lengths and self.trie.within_one(core):
                 return DISGUISED
-        for p in parts:
-            if len(p) >= 4:
-                single = re.sub(r"(.)\1+", r"\1", p)
-                if single != p and single in self.words:
-                    return DISGUISED
-            if self.misspelt(p):
-                return MISSPELT
-        return NONE
+        return min((k for p in parts if (k := self.near(p))), default=NONE)
+
+    def near(self, w: str) -> int:
+        """Kind of a word that is no term: one with doubled letters, or with an edit."""
+        if len(w) < 4:
+            return NONE
+        if w[0] in self.firsts and DOUBLED.search(w):
+            single = DOUBLED.sub(r"\1", w)
+            if single in self.words:
+                return DISGUISED
+        return MISSPELT if self.misspelt(w) else NONE
 
 
 @lru_cache(maxsize=2)
@@ -223,7 +252,8 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     counts = rows.mapInArrow(count_batches, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    pure = counts.filter((F.col("toxic") >= TERM_DOCS) & (F.col("toxic") >= TERM_PURITY * (F.col("toxic") + F.col("clean"))))
+    least = max(TERM_DOCS, round(TERM_SHARE * rows.filter("toxic = 1").count()))
+    pure = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= TERM_PURITY * (F.col("toxic") + F.col("clean"))))
     likely = frozenset(r["term"] for r in pure.orderBy(F.desc("toxic"), "term").limit(10 * TERMS).collect())
 
     def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +267,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     terms = sorted(r["term"] for r in kept.collect())
     stems = [t[:-1] for t in terms if t.endswith("*")]
     stems = tuple(s for s in stems if not any(s != o and s.startswith(o) for o in stems))
-    return Lexicon(tuple(t for t in terms if not t.endswith("*")), stems)
+    return Lexicon(tuple(t for t in terms if not t.endswith("*") and not t.startswith(stems or (t + "*",))), stems)
 
 
 def evidence(found: list[tuple[int, bool]]) -> tuple[int, bool]:
