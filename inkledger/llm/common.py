@@ -43,10 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here and lost executors cost nothing."""
+    """Write a table to the shared folder and read it again: lineage ends here and lost executors cost nothing.
+
+    Spark keeps shuffle files until the driver has collected the plan that made them, so it is asked to do so now.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -42,8 +42,11 @@ from inkledger.llm.components import components
 FREQUENT, FREQUENT_MOST = 8, 500_000
 PAIR_SIZE = 300
 GROUP, BLOCK = 64, 256
+#: Stands for a null doc_id in keys.
+NO_ID = -(1 << 62)
 COUNT_AT_ONCE = 3_000_000
 COLUMNS_AT_ONCE = 8192
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def least_overlap(n, percent: int):
@@ -72,15 +75,21 @@ def name_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """256 bits: of which bits the set has an odd number of tokens. Sketches differ in no more bits than the sets do in tokens."""
+    odd = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def survey(width: int):
-    """Rows of two kinds: a document's (doc_id, n, node), and a token's (token, seen) in a stretch of documents."""
-    names = ["doc_id", "n", "node", "token", "seen"]
+    """Rows of two kinds: a document's (doc_id, n, node, sketch), and a token's (token, seen) in a stretch of documents."""
+    names = ["doc_id", "n", "node", *SKETCH, "token", "seen"]
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, seen = np.unique(np.concatenate(held), return_counts=True)
         tokens, seen = tokens[seen > 1], seen[seen > 1]
         nulls = lambda kind: pa.nulls(len(tokens), kind)
-        return pa.RecordBatch.from_arrays([nulls(pa.int64()), nulls(pa.int64()), nulls(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(seen.astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([nulls(pa.int64()), nulls(pa.int64()), nulls(pa.binary()), *[nulls(pa.int64()) for _ in SKETCH], pa.array(tokens.view(np.int64)), pa.array(seen.astype(np.int64))], names)
 
     def survey_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -90,7 +99,8 @@ def survey(width: int):
                 found = sets(batch.column("text").to_pylist(), width)
                 nodes = [name_of(s) for s in found]
                 nulls = lambda kind, n=len(found): pa.nulls(n, kind)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.binary()), nulls(pa.int64()), nulls(pa.int64())], names)
+                bits = np.stack([sketch(s) for s in found])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(SKETCH))], nulls(pa.int64()), nulls(pa.int64())], names)
                 for s, node in zip(found, nodes, strict=True):
                     if node not in known:
                         known.add(node)
@@ -253,6 +263,8 @@ def pair_up(percent: int):
 
 
 def packed(width: int):
+    """Sets by node; rows may share a doc_id, so a text counts only under its own name."""
+
     def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -325,27 +337,34 @@ def classes_and_links(docs: DataFrame, text: str, width: int, percent: int) -> t
         raise ValueError("percent must be over 50")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
-    seen = stash(rows.mapInArrow(survey(width), "doc_id long, n long, node binary, token long, seen long"), "shingles")
-    classes = seen.filter("token is null").select("doc_id", "n", "node")
+    bits = ", ".join(f"{b} long" for b in SKETCH)
+    seen = stash(rows.mapInArrow(survey(width), f"doc_id long, n long, node binary, {bits}, token long, seen long"), "shingles")
+    classes = seen.filter("token is null").select("doc_id", "n", "node", *SKETCH)
     often = seen.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= FREQUENT)
     top = often.orderBy(F.desc("seen"), "token").limit(FREQUENT_MOST).toArrow()
     shared = spark.sparkContext.broadcast((top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy()))  # FREQUENT_MOST at most
     keys = rows.mapInArrow(index(width, percent, shared), "key long, node binary, n int, stands int, at int")
     grouped = keys.repartition("key").sortWithinPartitions("key", "n", "node")
     found = stash(grouped.mapInArrow(pair_up(percent), "a binary, b binary, key long, rank long"), "candidates")
-    pairs = found.filter("b is not null").select("a", "b").distinct()
     large = found.filter("b is null").select(F.col("a").alias("node"), "key", (F.col("rank") / BLOCK).cast("int").alias("block"))
 
-    # the sets of all candidates, one row per class
+    # sketches settle most pairs that do not link
+    nodes = classes.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in SKETCH])
+    nodes = stash(nodes, "nodes")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(k).alias(f"{x}_{k}") for k in SKETCH])
+    apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    both = F.col("a_n") + F.col("b_n")
+    near = found.filter("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
+    pairs = stash(near.select("a", "b"), "pairs")
+
+    # the sets of all candidates; a class stands for all its documents
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).unionAll(large.select(F.col("node").alias("want"))).distinct()
-    first = classes.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("first"))
-    chosen = first.join(wanted, F.col("node") == F.col("want"), "left_semi")
-    held = rows.join(chosen, F.coalesce("doc_id", F.lit(-(1 << 62))) == F.col("first")).select("node", "text")
-    # rows may share a doc_id: a set counts only under its own name
-    own = stash(held.mapInArrow(packed(width), "node binary, tokens binary").dropDuplicates(["node"]), "sets")
-    left, right = own.select(F.col("node").alias("na"), F.col("tokens").alias("x")), own.select(F.col("node").alias("nb"), F.col("tokens").alias("y"))
-    met = pairs.join(left, F.col("a") == F.col("na")).drop("na").join(right, F.col("b") == F.col("nb")).select("a", "b", "x", "y")
-    links = met.mapInArrow(verify(percent), "a binary, b binary")
+    chosen = nodes.select("node", "first").join(wanted, F.col("node") == F.col("want"), "left_semi")
+    held = rows.join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first")).select("node", "text")
+    own = stash(held.mapInArrow(packed(width), "node binary, tokens binary"), "sets")
+    left, right = own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), own.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    links = stash(met.mapInArrow(verify(percent), "a binary, b binary"), "verified")
 
     blocks = large.groupBy(F.col("key").alias("of")).agg(F.max("block").alias("last"))
     other = F.explode(F.sequence(F.lit(0), F.col("last")))
