@@ -10,7 +10,7 @@ backward search from its last word; where the match has reached WINDOW
 words, the suffix interval of that window is reported if a document with a
 smaller doc_id stands in it. All stretches of a shard step together.
 
-Texts that are equal as a whole are settled by their hash: all but the
+Text that repeats itself takes one anchor for many windows. Texts that are equal as a whole are settled by their hash: all but the
 smallest doc_id lose every word if they hold a window. Stretches equal to one of a smaller document in
 the same task are settled before they move. Stretches of an anchor beyond
 PART are cut into parts by order, and each pair of parts has an index of its own, so
@@ -44,12 +44,29 @@ def name_of(words: list[bytes]) -> bytes:
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all windows."""
+    """Positions and hashes of anchors: every window holds one whose hash is the least in it.
+
+    Where a least run stands more than once, as in text that repeats itself, as few places as cover the windows are taken: the key is the same at each.
+    """
     if len(hashes) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = window_hashes(hashes, GRAM)
     span = window - GRAM + 1
-    at = np.unique(np.arange(len(grams) - span + 1) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1))
+    first = np.arange(len(grams) - span + 1) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1)
+    least = grams[first]
+    edges = np.flatnonzero(least[1:] != least[:-1]) + 1
+    begins, ends = np.append(0, edges), np.append(edges, len(least))
+    several = np.flatnonzero(first[begins] != first[ends - 1])
+    at = [np.delete(first[begins], several)]
+    for k in several.tolist():
+        w, end = int(begins[k]), int(ends[k])
+        places = w + np.flatnonzero(grams[w : end + span - 1] == least[w])
+        taken = []
+        while w < end:
+            taken.append(int(places[np.searchsorted(places, w + span, side="left") - 1]))
+            w = taken[-1] + 1
+        at.append(np.array(taken, np.int64))
+    at = np.unique(np.concatenate(at))
     return at, grams[at]
 
 
