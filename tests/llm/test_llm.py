@@ -251,7 +251,7 @@ def test_pieces_follow_the_lattice():
 
 def test_toxicity(spark):
     clean = [(i, f"plain talk number{i % 9} about weather and losing time", 0) for i in range(300)]
-    bad = [(1000 + i, f"you{i % 7} total moron go away{i % 5}", 1) for i in range(100)]
+    bad = [(1000 + i, f"you total{'abcdefg'[i % 7]} moron go away", 1) for i in range(100)]
     rows = clean + bad + [(2000, "such a morron today", None), (2001, None, None), (2002, "", None), (2003, "m0ron indeed", None), (2004, 'he said "moron" in the film', None)]
     table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None] + [(5, None)], "doc_id long, toxic int")
