@@ -41,7 +41,7 @@ from inkledger.llm.components import components
 
 FREQUENT, FREQUENT_MOST = 8, 500_000
 PAIR_SIZE = 300
-GROUP, BLOCK = 64, 256
+GROUP, BLOCK = 64, 512
 #: Stands for a null doc_id in keys.
 NO_ID = -(1 << 62)
 COUNT_AT_ONCE = 3_000_000
