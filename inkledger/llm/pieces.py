@@ -34,7 +34,7 @@ from inkledger.llm.common import mix, slices
 
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
-SHARPNESS = 1.5
+SHARPNESS = 0.3
 RANK_SHIFT = 10.0
 #: Longer chunks are filtered one by one.
 LONGEST_AT_ONCE = 24
