@@ -47,6 +47,8 @@ NO_ID = -(1 << 62)
 COUNT_AT_ONCE = 3_000_000
 COLUMNS_AT_ONCE = 8192
 SKETCH = ("s0", "s1", "s2", "s3")
+#: Sets of more tokens have a wide sketch besides, of a bit or two a token.
+WIDE = 256
 
 
 def least_overlap(n, percent: int):
@@ -81,15 +83,32 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes | None:
+    """The same over as many bits as the next power of two from the set's size, by the low bits of tokens."""
+    if len(tokens) <= WIDE:
+        return None
+    bits = 1 << (len(tokens) - 1).bit_length()
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits wide sketches differ; the longer one is folded to the length of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def survey(width: int):
-    """Rows of two kinds: a document's (doc_id, n, node, sketch), and a token's (token, seen) in a stretch of documents."""
-    names = ["doc_id", "n", "node", *SKETCH, "token", "seen"]
+    """Rows of two kinds: a document's (doc_id, n, node, sketches), and a token's (token, seen) in a stretch of documents."""
+    names = ["doc_id", "n", "node", *SKETCH, "wide", "token", "seen"]
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, seen = np.unique(np.concatenate(held), return_counts=True)
         tokens, seen = tokens[seen > 1], seen[seen > 1]
         nulls = lambda kind: pa.nulls(len(tokens), kind)
-        return pa.RecordBatch.from_arrays([nulls(pa.int64()), nulls(pa.int64()), nulls(pa.binary()), *[nulls(pa.int64()) for _ in SKETCH], pa.array(tokens.view(np.int64)), pa.array(seen.astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([nulls(pa.int64()), nulls(pa.int64()), nulls(pa.binary()), *[nulls(pa.int64()) for _ in SKETCH], nulls(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(seen.astype(np.int64))], names)
 
     def survey_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -100,7 +119,7 @@ def survey(width: int):
                 nodes = [name_of(s) for s in found]
                 nulls = lambda kind, n=len(found): pa.nulls(n, kind)
                 bits = np.stack([sketch(s) for s in found])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(SKETCH))], nulls(pa.int64()), nulls(pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(SKETCH))], pa.array([wide_sketch(s) for s in found], pa.binary()), nulls(pa.int64()), nulls(pa.int64())], names)
                 for s, node in zip(found, nodes, strict=True):
                     if node not in known:
                         known.add(node)
@@ -280,6 +299,19 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def still_near(percent: int):
+    """Of pairs with wide sketches x and y, those that may link."""
+
+    def near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), strict=True)
+            most = (n + m - 2 * pair_overlap(n, m, percent) for n, m in sizes)
+            good = [bits_apart(x.as_buffer(), y.as_buffer()) <= k for x, y, k in zip(batch.column("x"), batch.column("y"), most, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return near_batches
+
+
 def verify(percent: int):
     def verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,8 +370,8 @@ def classes_and_links(docs: DataFrame, text: str, width: int, percent: int) -> t
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
     bits = ", ".join(f"{b} long" for b in SKETCH)
-    seen = stash(rows.mapInArrow(survey(width), f"doc_id long, n long, node binary, {bits}, token long, seen long"), "shingles")
-    classes = seen.filter("token is null").select("doc_id", "n", "node", *SKETCH)
+    seen = stash(rows.mapInArrow(survey(width), f"doc_id long, n long, node binary, {bits}, wide binary, token long, seen long"), "shingles")
+    classes = seen.filter("token is null").select("doc_id", "n", "node", *SKETCH, "wide")
     often = seen.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= FREQUENT)
     top = often.orderBy(F.desc("seen"), "token").limit(FREQUENT_MOST).toArrow()
     shared = spark.sparkContext.broadcast((top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy()))  # FREQUENT_MOST at most
@@ -348,14 +380,20 @@ def classes_and_links(docs: DataFrame, text: str, width: int, percent: int) -> t
     found = stash(grouped.mapInArrow(pair_up(percent), "a binary, b binary, key long, rank long"), "candidates")
     large = found.filter("b is null").select(F.col("a").alias("node"), "key", (F.col("rank") / BLOCK).cast("int").alias("block"))
 
-    # sketches settle most pairs that do not link
-    nodes = classes.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in SKETCH])
+    # sketches settle most pairs that do not link; the short ones first, as only wide ones tell long sets apart.
+    # Dealt by `a`, distinct and the first join need no shuffle of their own.
+    nodes = classes.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in (*SKETCH, "wide")])
     nodes = stash(nodes, "nodes")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(k).alias(f"{x}_{k}") for k in SKETCH])
     apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
     both = F.col("a_n") + F.col("b_n")
-    near = found.filter("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
-    pairs = stash(near.select("a", "b"), "pairs")
+    near = found.filter("b is not null").select("a", "b").repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
+    near = stash(near.select("a", "b", "a_n", "b_n"), "near")
+    wide = nodes.filter("wide is not null")
+    wide_a, wide_b = wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), wide.select(F.col("node").alias("b"), F.col("wide").alias("y"))
+    both_wide = F.least("a_n", "b_n") > WIDE
+    nearer = near.filter(both_wide).join(wide_a, "a").join(wide_b, "b").select("a", "b", "a_n", "b_n", "x", "y").mapInArrow(still_near(percent), "a binary, b binary")
+    pairs = stash(nearer.unionAll(near.filter(~both_wide).select("a", "b")), "pairs")
 
     # the sets of all candidates; a class stands for all its documents
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).unionAll(large.select(F.col("node").alias("want"))).distinct()

@@ -335,3 +335,15 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r["doc_id"] for r in out.collect()}
     near = brute_components([(i, t) for i, t, *_ in TEXTS if i not in (1, 9, 5, 6)], 5, 80)
     assert ids <= {i for i, (_, root) in near.items() if i == root}
+
+
+def test_wide_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    for n, m, common in ((300, 310, 290), (500, 540, 500), (1000, 1100, 1000), (2000, 2100, 0), (5000, 4800, 4700)):
+        pool = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))[: n + m - common]
+        rng.shuffle(pool)
+        x, y = pool[:n], pool[n - common : n - common + m]
+        apart = jaccard.bits_apart(jaccard.wide_sketch(np.sort(x)), jaccard.wide_sketch(np.sort(y)))
+        assert apart <= n + m - 2 * len(np.intersect1d(x, y))
+        assert common or apart > 1000
+    assert jaccard.wide_sketch(np.arange(jaccard.WIDE, dtype=np.uint64)) is None
