@@ -265,6 +265,19 @@ def test_toxicity(spark):
     assert kept == {i for i, r in got.items() if r["score"] < 0.3}
 
 
+def test_misspelt_term_with_three_inflections(spark):
+    clean = [(i, f"plain talk number{i % 9} about weather and losing time", 0) for i in range(300)]
+    bad = [(1000 + i, f"you total{'abcdefg'[i % 7]} {('idiot', 'idiots', 'idiotic')[i % 3]} go away", 1) for i in range(105)]
+    rows = clean + bad + [(2000, "such an idoit today", None), (2001, "1diot indeed", None), (2002, "iddiot indeed", None), (2003, "idiotically done", None)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.learn(table, spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int"))
+    assert "idio" in model.lexicon.stems and {"idiot", "idiots", "idiotic"} <= set(model.lexicon.words)
+    m = toxicity.Matcher(model.lexicon)
+    assert [m.classify(w) for w in ("idiot", "idoit", "1diot", "iddiot", "idiotically")] == [toxicity.EXACT, toxicity.MISSPELT, toxicity.DISGUISED, toxicity.DISGUISED, toxicity.STEM]
+    got = by_id(toxicity.score(table, model))
+    assert all(got[i]["predicted"] == 1 and got[i]["n_hits"] == 1 for i in (2000, 2001, 2002, 2003))
+
+
 def test_levenshtein_walk():
     t = toxicity.Trie(("idiot", "stupid"))
     for near in ("idot", "idioot", "idoit", "stupyd", "sutpid", "tupid"):
