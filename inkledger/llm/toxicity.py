@@ -36,9 +36,8 @@ from pyspark.sql import functions as F
 from inkledger.llm.common import Words, slices, stash
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
-#: A term is in at least so many, and this share, of the sampled toxic documents, has so many words before it, and this share of its documents is toxic.
-TERM_DOCS, TERM_SHARE, TERM_CONTEXTS, TERM_PURITY = 4, 0.01, 4, 0.93
-TERMS = 1000
+#: A term is in at least so many of the sampled toxic documents, has so many words before it, and this share of its documents is toxic.
+TERM_DOCS, TERM_CONTEXTS, TERM_PURITY = 4, 4, 0.93
 STEM_LENGTHS = range(4, 8)
 #: Shorter terms are not matched with an edit.
 EDIT_LENGTH = 5
@@ -115,12 +114,15 @@ class Matcher:
         self.stem_lengths = sorted({len(s) for s in lexicon.stems})
         long = tuple(w for w in lexicon.words if len(w) >= EDIT_LENGTH)
         self.trie = Trie(long)
-        self.lengths = {len(w) + d for w in long for d in (-1, 0, 1)}
-        # one edit leaves a term's first or second half as it is; swaps of neighbours are few enough to list
-        self.heads = {w[: len(w) // 2] for w in long}
-        self.tails = {w[len(w) // 2 :] for w in long}
+        # by the length of the word looked up: one edit leaves a term's first or second half as it is; swaps of neighbours are few enough to list
+        self.heads: dict[int, dict[int, set[str]]] = {}
+        self.tails: dict[int, dict[int, set[str]]] = {}
+        for w in long:
+            half = len(w) // 2
+            for size in (len(w) - 1, len(w), len(w) + 1):
+                self.heads.setdefault(size, {}).setdefault(half, set()).add(w[:half])
+                self.tails.setdefault(size, {}).setdefault(len(w) - half, set()).add(w[half:])
         self.swaps = {w[:k] + w[k + 1] + w[k] + w[k + 2 :] for w in long for k in range(len(w) - 1)} - set(lexicon.words)
-        self.head_lengths, self.tail_lengths = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
         self.firsts = {w[0] for w in lexicon.words}
         self.known: dict[bytes, int] = {}
 
@@ -136,14 +138,14 @@ class Matcher:
         if w in self.swaps:
             return True
         size = len(w)
-        if size not in self.lengths:
+        if size not in self.heads:
             return False
-        for n in self.head_lengths:
-            if w[:n] in self.heads:
+        for n, heads in self.heads[size].items():
+            if w[:n] in heads:
                 break
         else:
-            for n in self.tail_lengths:
-                if w[size - n :] in self.tails:
+            for n, tails in self.tails[size].items():
+                if w[size - n :] in tails:
                     break
             else:
                 return False
@@ -169,7 +171,7 @@ class Matcher:
             plain, joined = "".join(LETTERS.findall(core.translate(LEET))), "".join(parts)
             if plain != joined and self.of_word(plain) == EXACT or len(parts) > 1 and self.of_word(joined) == EXACT:
                 return DISGUISED
-            if len(core) in self.lengths and self.trie.within_one(core):
+            if len(core) in self.heads and self.trie.within_one(core):
                 return DISGUISED
         return min((k for p in parts if (k := self.near(p))), default=NONE)
 
@@ -229,13 +231,13 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
 
 
 def terms_of(text: str) -> Iterator[tuple[str, str, str]]:
-    """(term, word, the word before) for the words of a text and their beginnings, which end in *."""
+    """(term, word, the word before) for the words of a text and their beginnings, which end in * and cover the word that is nothing more."""
     before = ""
     for w in LETTERS.findall(text.lower()):
         if len(w) >= 4:
             yield w, w, before
             for n in STEM_LENGTHS:
-                if n < len(w):
+                if n <= len(w):
                     yield w[:n] + "*", w, before
         before = w
 
@@ -252,9 +254,8 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     counts = rows.mapInArrow(count_batches, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    least = max(TERM_DOCS, round(TERM_SHARE * rows.filter("toxic = 1").count()))
-    pure = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= TERM_PURITY * (F.col("toxic") + F.col("clean"))))
-    likely = frozenset(r["term"] for r in pure.orderBy(F.desc("toxic"), "term").limit(10 * TERMS).collect())
+    pure = counts.filter((F.col("toxic") >= TERM_DOCS) & (F.col("toxic") >= TERM_PURITY * (F.col("toxic") + F.col("clean"))))
+    likely = frozenset(r["term"] for r in pure.select("term").collect())
 
     def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +264,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
 
     seen = rows.filter("toxic = 1").mapInArrow(context_batches, "term string, word string, before string").distinct()
     spread = seen.groupBy("term").agg(F.countDistinct("before").alias("contexts"), F.countDistinct("word").alias("words"))
-    kept = spread.filter((F.col("contexts") >= TERM_CONTEXTS) & (~F.col("term").endswith("*") | (F.col("words") >= 3))).orderBy(F.desc("contexts"), "term").limit(TERMS)
+    kept = spread.filter((F.col("contexts") >= TERM_CONTEXTS) & (~F.col("term").endswith("*") | (F.col("words") >= 3)))
     terms = sorted(r["term"] for r in kept.collect())
     stems = [t[:-1] for t in terms if t.endswith("*")]
     stems = tuple(s for s in stems if not any(s != o and s.startswith(o) for o in stems))

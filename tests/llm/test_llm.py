@@ -278,6 +278,19 @@ def test_misspelt_term_with_three_inflections(spark):
     assert all(got[i]["predicted"] == 1 and got[i]["n_hits"] == 1 for i in (2000, 2001, 2002, 2003))
 
 
+def test_rare_term_of_a_large_sample(spark):
+    known = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    clean = [(i, f"plain talk number{i % 9} about weather and lost time", 0) for i in known[:300]]
+    bad = [(i, f"you total{'abcdefg'[i % 7]} moron go away", 1) for i in known[300:1300]] + [(i, f"what an{'abcdef'[k]} wanker", 1) for k, i in enumerate(known[1300:1306])]
+    bad += [(i, f"see{'abcdef'[k]} {('lostaxx', 'lostbyy', 'lostczz')[k % 3]}", 1) for k, i in enumerate(known[1306:1312])]
+    rows = clean + bad + [(20_000, "one more wanker here", None)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.learn(table, spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int"))
+    assert {"moron", "wanker"} <= set(model.lexicon.words) and "lost" not in model.lexicon.stems
+    got = by_id(toxicity.score(table, model))
+    assert got[20_000]["predicted"] == 1 and not any(got[i]["predicted"] for i, *_ in clean)
+
+
 def test_levenshtein_walk():
     t = toxicity.Trie(("idiot", "stupid"))
     for near in ("idot", "idioot", "idoit", "stupyd", "sutpid", "tupid"):
