@@ -1,7 +1,7 @@
 """Toxicity by a learned lexicon, matched through Levenshtein automata, with context scores.
 
 The lexicon holds words and word beginnings that labelled toxic documents share
-and clean ones do not. A term counts by how many different words stand before it, so that the
+and clean ones do not. A term counts by how many distinct texts it is in, so that the
 words of one text that was copied many times do not enter. Each distinct
 token is looked up once: as a term, as a term's inflection, as a disguised
 term (digits, signs or doubled letters in its place), or as a misspelt term,
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from inkledger.llm.common import Words, slices, stash
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
-#: A term is in at least so many of the sampled toxic documents, has so many words before it, and this share of its documents is toxic.
-TERM_DOCS, TERM_CONTEXTS, TERM_PURITY = 4, 4, 0.93
+#: A term is in at least so many of the sampled toxic documents, in so many distinct texts, and this share of its documents is toxic.
+TERM_DOCS, TERM_TEXTS, TERM_PURITY = 4, 4, 0.93
 STEM_LENGTHS = range(4, 8)
 #: Shorter terms are not matched with an edit.
 EDIT_LENGTH = 5
@@ -230,16 +230,14 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     return docs.join(F.broadcast(rows), F.col("doc_id") == F.col("of")).select("toxic", F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def terms_of(text: str) -> Iterator[tuple[str, str, str]]:
-    """(term, word, the word before) for the words of a text and their beginnings, which end in * and cover the word that is nothing more."""
-    before = ""
+def terms_of(text: str) -> Iterator[tuple[str, str]]:
+    """(term, word) for the words of a text and their beginnings, which end in * and cover the word that is nothing more."""
     for w in LETTERS.findall(text.lower()):
         if len(w) >= 4:
-            yield w, w, before
+            yield w, w
             for n in STEM_LENGTHS:
                 if n <= len(w):
-                    yield w[:n] + "*", w, before
-        before = w
+                    yield w[:n] + "*", w
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +245,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for batch in slices(whole, most=1 << 20):
             by = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                by[toxic].update({t for t, _, _ in terms_of(text)})
+                by[toxic].update({t for t, _ in terms_of(text)})
             both = list(by[0].keys() | by[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([by[1][t] for t in both], pa.int64()), pa.array([by[0][t] for t in both], pa.int64())], ["term", "toxic", "clean"])
 
@@ -257,14 +255,14 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     pure = counts.filter((F.col("toxic") >= TERM_DOCS) & (F.col("toxic") >= TERM_PURITY * (F.col("toxic") + F.col("clean"))))
     likely = frozenset(r["term"] for r in pure.select("term").collect())
 
-    def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = list({x for text in batch.column("text").to_pylist() for x in terms_of(text) if x[0] in likely})
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.string()) for k in range(3)], ["term", "word", "before"])
+            seen = list({(*x, of) for text, of in zip(batch.column("text").to_pylist(), batch.column("of").to_pylist(), strict=True) for x in terms_of(text) if x[0] in likely})
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["term", "word", "of"])
 
-    seen = rows.filter("toxic = 1").mapInArrow(context_batches, "term string, word string, before string").distinct()
-    spread = seen.groupBy("term").agg(F.countDistinct("before").alias("contexts"), F.countDistinct("word").alias("words"))
-    kept = spread.filter((F.col("contexts") >= TERM_CONTEXTS) & (~F.col("term").endswith("*") | (F.col("words") >= 3)))
+    seen = rows.filter("toxic = 1").select("text", F.xxhash64("text").alias("of")).mapInArrow(text_batches, "term string, word string, of long").distinct()
+    spread = seen.groupBy("term").agg(F.countDistinct("of").alias("texts"), F.countDistinct("word").alias("words"))
+    kept = spread.filter((F.col("texts") >= TERM_TEXTS) & (~F.col("term").endswith("*") | (F.col("words") >= 3)))
     terms = sorted(r["term"] for r in kept.collect())
     stems = [t[:-1] for t in terms if t.endswith("*")]
     stems = tuple(s for s in stems if not any(s != o and s.startswith(o) for o in stems))

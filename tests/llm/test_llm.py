@@ -291,6 +291,19 @@ def test_rare_term_of_a_large_sample(spark):
     assert got[20_000]["predicted"] == 1 and not any(got[i]["predicted"] for i, *_ in clean)
 
 
+def test_term_in_a_set_phrase(spark):
+    clean = [(i, f"plain talk number{i % 9} about weather and losing time", 0) for i in range(300)]
+    bad = [(1000 + i, f"you{i % 7} total moron go away{i % 5}", 1) for i in range(100)]
+    copies = [(3000 + i, "one copied harangue", 1) for i in range(40)]
+    rows = clean + bad + copies + [(2000, "such a morron today", None), (2003, "m0ron indeed", None)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.learn(table, spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int"))
+    assert "moron" in model.lexicon.words and "harangue" not in model.lexicon.words
+    got = by_id(toxicity.score(table, model))
+    assert all(got[i]["predicted"] == y for i, _, y in clean + bad)
+    assert got[2003]["predicted"] == 1 and got[2000]["n_hits"] == 1
+
+
 def test_levenshtein_walk():
     t = toxicity.Trie(("idiot", "stupid"))
     for near in ("idot", "idioot", "idoit", "stupyd", "sutpid", "tupid"):
