@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -54,6 +55,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, keep: DataFrame, keys: list[Column], text: str) -> DataFrame:
+    """The rows of docs whose keys (never null) are rows of `keep` (distinct, as many columns); of rows with the same keys the first by text and then by the other columns."""
+    names = [unused(f"key{i}", docs) for i in range(len(keys))]
+    rank = unused("rank", docs)
+    keyed = docs.withColumns(dict(zip(names, keys, strict=True)))
+    wanted = keep.toDF(*[f"{n}_of" for n in names])
+    on = [F.col(n) == F.col(f"{n}_of") for n in names]
+    ordered = [f.name for f in docs.schema if f.name != text and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in (text, *ordered)]
+    kept = keyed.join(wanted, on, "left_semi").withColumn(rank, F.row_number().over(W.partitionBy(*names).orderBy(*order)))
+    return kept.filter(F.col(rank) == 1).drop(*names, rank)
+
+
 def drop_stash(df: DataFrame) -> None:
     """Remove a stashed table that no later plan reads."""
     jvm = df.sparkSession._jvm

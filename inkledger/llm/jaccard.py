@@ -8,40 +8,60 @@ the first n - o + 1 (o: the least overlap that a set of n tokens can link
 with), and their second shared token is among the first n - o + 2. So rare
 tokens of the prefix are index keys of their own, and of frequent tokens pairs
 from the prefix extended by one are keys; sets too long for pairs (over
-PAIR_SIZE) use single frequent tokens. Positions and sizes bound the overlap
+Limits.pair_size) use single frequent tokens. Positions and sizes bound the overlap
 of two sets under a key, which settles most candidates; the rest are verified on
-whole sets. Keys with more than GROUP sets are cut into blocks; each pair of
-blocks is verified in a task of its own by a matrix product and gives back a
-spanning forest of its links, never all pairs. Links give components by
-alternating stars.
+whole sets. The sets of a larger group (Limits.group) meet a few pivots in
+each turn instead of one another; components are contracted after each, and
+only what stands in different components is compared further. Links give
+components by alternating stars. How many links a document has is not returned:
+that would need all pairs of a large group.
 
-Frequent are shingles counted at least FREQUENT times by tasks that saw them
+Frequent are shingles counted at least Limits.frequent times by tasks that saw them
 twice or more, at most FREQUENT_MOST of them; this only shapes the
 order, and any order gives the same links.
 
 Cases: null, empty or blank texts have an empty set and link with nothing; texts
 of fewer words than a shingle have one token, the whole sequence; repeated
 rows and equal texts are one class; ties do not arise, the component is the
-smallest doc_id (nulls aside); an empty table gives no rows; other columns are
-ignored by `join` and pass through `dedup`.
+smallest doc_id (nulls aside); an empty table gives no rows; other columns, of
+any name, are ignored by `join` and pass through `dedup`, which keeps one row
+of each component: of its smallest doc_id (null last), and of rows with that doc_id
+one by hash of the text, and of rows with that text too the first by other columns.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.llm.common import Words, mix, slices, stash, window_hashes
+from inkledger.llm.common import Words, mix, one_of_each, slices, stash, window_hashes
 from inkledger.llm.components import components
 
-FREQUENT, FREQUENT_MOST = 8, 500_000
-PAIR_SIZE = 300
-GROUP, BLOCK = 64, 512
+FREQUENT_MOST = 500_000
+
+
+class Limits(NamedTuple):
+    """What decides the way in which a pair is found, never whether it is."""
+
+    frequent: int = 8
+    #: Sets of more tokens have single frequent tokens as keys, others pairs.
+    pair_size: int = 300
+    #: Groups of more sets go by blocks, of so many sets.
+    group: int = 64
+    block: int = 512
+    #: Before that, while a set would meet more than so many others there, come turns with so many pivots.
+    meet: int = 256
+    pivots: int = 4
+    turns: int = 2
+
+
+LIMITS = Limits()
 #: Stands for a null doc_id in keys.
 NO_ID = -(1 << 62)
 COUNT_AT_ONCE = 3_000_000
@@ -102,13 +122,13 @@ def bits_apart(x: bytes, y: bytes) -> int:
 
 def survey(width: int):
     """Rows of two kinds: a document's (doc_id, n, node, sketches), and a token's (token, seen) in a stretch of documents."""
-    names = ["doc_id", "n", "node", *SKETCH, "wide", "token", "seen"]
+    names = ["doc_id", "mark", "n", "node", *SKETCH, "wide", "token", "seen"]
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, seen = np.unique(np.concatenate(held), return_counts=True)
         tokens, seen = tokens[seen > 1], seen[seen > 1]
         nulls = lambda kind: pa.nulls(len(tokens), kind)
-        return pa.RecordBatch.from_arrays([nulls(pa.int64()), nulls(pa.int64()), nulls(pa.binary()), *[nulls(pa.int64()) for _ in SKETCH], nulls(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(seen.astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.binary()), *[nulls(pa.int64()) for _ in SKETCH], nulls(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(seen.astype(np.int64))], names)
 
     def survey_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -119,7 +139,7 @@ def survey(width: int):
                 nodes = [name_of(s) for s in found]
                 nulls = lambda kind, n=len(found): pa.nulls(n, kind)
                 bits = np.stack([sketch(s) for s in found])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(SKETCH))], pa.array([wide_sketch(s) for s in found], pa.binary()), nulls(pa.int64()), nulls(pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(SKETCH))], pa.array([wide_sketch(s) for s in found], pa.binary()), nulls(pa.int64()), nulls(pa.int64())], names)
                 for s, node in zip(found, nodes, strict=True):
                     if node not in known:
                         known.add(node)
@@ -153,7 +173,7 @@ class Order:
         return out
 
 
-def keys_of(tokens: np.ndarray, weights: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(tokens: np.ndarray, weights: np.ndarray, percent: int, pair_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index keys of a set: key, how many shared tokens it stands for, position of the last of them."""
     n = len(tokens)
     if n < 2:
@@ -164,7 +184,7 @@ def keys_of(tokens: np.ndarray, weights: np.ndarray, percent: int) -> tuple[np.n
     rare = np.flatnonzero(~heavy[:short])
     keys, stands, at = [prefix[rare]], [np.ones(len(rare), np.int64)], [rare]
     often = np.flatnonzero(heavy)
-    if len(often) and percent * n <= 100 * PAIR_SIZE:
+    if len(often) and percent * n <= 100 * pair_size:
         first, second = np.triu_indices(len(often), 1)
         first, second = often[first], often[second]
         fits = first < short
@@ -172,7 +192,7 @@ def keys_of(tokens: np.ndarray, weights: np.ndarray, percent: int) -> tuple[np.n
         keys.append(mix(prefix[first] * np.uint64(0x9E6C63D0876A9A47) + prefix[second]))
         stands.append(np.full(len(first), 2, np.int64))
         at.append(second)
-    if len(often) and 100 * n > percent * PAIR_SIZE:
+    if len(often) and 100 * n > percent * pair_size:
         single = often[often < short]
         keys.append(mix(prefix[single]))
         stands.append(np.ones(len(single), np.int64))
@@ -180,7 +200,7 @@ def keys_of(tokens: np.ndarray, weights: np.ndarray, percent: int) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(stands), np.concatenate(at)
 
 
-def index(width: int, percent: int, shared):
+def index(width: int, percent: int, shared, pair_size: int):
     def index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(*shared.value)
         known: set[bytes] = set()
@@ -199,7 +219,7 @@ def index(width: int, percent: int, shared):
                     continue
                 weights = order.weights(np.concatenate([s for s, _ in fresh]))
                 ends = np.cumsum([len(s) for s, _ in fresh])
-                rows = [keys_of(s, weights[e - len(s) : e], percent) for (s, _), e in zip(fresh, ends, strict=True)]
+                rows = [keys_of(s, weights[e - len(s) : e], percent, pair_size) for (s, _), e in zip(fresh, ends, strict=True)]
                 counts = [len(r[0]) for r in rows]
                 sizes = np.repeat([len(s) for s, _ in fresh], counts)
                 spread = pa.array(np.repeat(np.arange(len(fresh)), counts))
@@ -214,35 +234,36 @@ def index(width: int, percent: int, shared):
     return index_batches
 
 
-def pair_up(percent: int):
-    """Candidates of a table sorted by key and size: pairs of small groups, members of large ones."""
-    names = ["a", "b", "key", "rank"]
+def pair_up(percent: int, most: int):
+    """Candidates of a table sorted by key and node: pairs of small groups; members of groups with more than `most` sets, and their pairs with the first of them.
+
+    As nodes are hashes, groups of the same sets have the same first one, and what their pairs link is contracted before anything else is compared.
+    """
+    names = ["a", "b", "key"]
 
     def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[bytes, int, int, int]] = []
-        state = {"key": None, "rank": 0, "last": None}
+        group: list[tuple[int, bytes, int, int]] = []
+        state = {"key": None, "large": False, "last": None}
         pairs: list[tuple[bytes, bytes]] = []
-        large: list[tuple[bytes, int, int]] = []
+        large: list[tuple[bytes, int]] = []
 
         def close() -> None:
-            if state["rank"]:
+            if state["large"]:
                 return
-            for i, (x, n, stands, p) in enumerate(group):
-                for y, m, _, q in group[i + 1 :]:
+            group.sort()
+            for i, (n, x, stands, p) in enumerate(group):
+                for m, y, _, q in group[i + 1 :]:
                     if percent * m > 100 * n:
                         break
-                    if x != y and stands + min(n - p, m - q) - 1 >= pair_overlap(n, m, percent):
+                    if stands + min(n - p, m - q) - 1 >= pair_overlap(n, m, percent):
                         pairs.append((x, y) if x < y else (y, x))
 
         def out() -> pa.RecordBatch:
             own = list(set(pairs))
             done = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[0] for p in own] + [r[0] for r in large], pa.binary()), pa.array([p[1] for p in own] + [None] * len(large), pa.binary()),
-                    pa.array([None] * len(own) + [r[1] for r in large], pa.int64()), pa.array([None] * len(own) + [r[2] for r in large], pa.int64()),
-                ],
+                [pa.array([p[0] for p in own] + [r[0] for r in large], pa.binary()), pa.array([p[1] for p in own] + [None] * len(large), pa.binary()), pa.array([None] * len(own) + [r[1] for r in large], pa.int64())],
                 names,
-            )
+            )
             pairs.clear()
             large.clear()
             return done
@@ -261,18 +282,19 @@ def pair_up(percent: int):
                 if key != state["key"]:
                     close()
                     group.clear()
-                    state.update(key=key, rank=0, last=None)
+                    state.update(key=key, large=False, last=None)
                 if node == state["last"]:
                     continue
                 state["last"] = node
-                if state["rank"]:
-                    large.append((node, key, state["rank"]))
-                    state["rank"] += 1
+                if state["large"]:
+                    large.append((node, key))
+                    pairs.append((group[0][1], node))
                 else:
-                    group.append((node, n, stands, at))
-                    if len(group) > GROUP:
-                        large.extend((g[0], key, k) for k, g in enumerate(group))
-                        state["rank"] = len(group)
+                    group.append((n, node, stands, at))
+                    if len(group) > most:
+                        large.extend((g[1], key) for g in group)
+                        pairs.extend((group[0][1], g[1]) for g in group[1:])
+                        state["large"] = True
                 if len(large) + len(pairs) > 20_000:
                     yield out()
         close()
@@ -363,69 +385,145 @@ def links_of_blocks(percent: int):
     return block_links
 
 
-def classes_and_links(docs: DataFrame, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+class Sets:
+    """The sets of a table's nodes: sketches settle most pairs, whole sets move only for those that are left."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, width: int, percent: int):
+        self.rows, self.nodes, self.width, self.percent = rows, nodes, width, percent
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those that sketches leave: the short ones first, as only wide ones tell long sets apart."""
+        percent = self.percent
+        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(k).alias(f"{x}_{k}") for k in SKETCH])
+        apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+        both = F.col("a_n") + F.col("b_n")
+        # dealt by `a`, distinct and the first join need no shuffle of their own
+        near = pairs.select("a", "b").repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
+        near = stash(near.select("a", "b", "a_n", "b_n"), "near")
+        wide = self.nodes.filter("wide is not null")
+        wide_a, wide_b = wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), wide.select(F.col("node").alias("b"), F.col("wide").alias("y"))
+        both_wide = F.least("a_n", "b_n") > WIDE
+        nearer = near.filter(both_wide).join(wide_a, "a").join(wide_b, "b").select("a", "b", "a_n", "b_n", "x", "y").mapInArrow(still_near(percent), "a binary, b binary")
+        return stash(nearer.unionAll(near.filter(~both_wide).select("a", "b")), "pairs")
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(node, tokens) of the nodes in `want`; a class stands for all its documents."""
+        chosen = self.nodes.select("node", "first").join(wanted.distinct(), F.col("node") == F.col("want"), "left_semi")
+        held = self.rows.join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first")).select("node", "text")
+        return stash(held.mapInArrow(packed(self.width), "node binary, tokens binary"), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs, those that link."""
+        left = self.near(pairs)
+        own = self.of(left.select(F.explode(F.array("a", "b")).alias("want")))
+        x, y = own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), own.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+        return stash(left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify(self.percent), "a binary, b binary"), "verified")
+
+
+def still_apart(members: DataFrame) -> DataFrame:
+    """Of (key, node, root), the groups that stand in two components or more."""
+    open_keys = members.groupBy(F.col("key").alias("of")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("of")
+    return stash(members.join(open_keys, F.col("key") == F.col("of"), "left_semi"), "members")
+
+
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """of, main, outers, inners: of each group its largest component, in how many blocks the members outside it fall, and those inside."""
+    sizes = members.groupBy("key", "root").count()
+    groups = sizes.groupBy(F.col("key").alias("of")).agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("held"))
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    return groups.withColumn("outers", blocks(F.col("all") - F.col("held"))).withColumn("inners", blocks(F.col("held")))
+
+
+def pivot_pairs(members: DataFrame, turn: int, pivots: int) -> DataFrame:
+    """Pairs of each group's members with its pivots of this turn, where they stand in different components.
+
+    Pivots are the first members of up to `pivots` buckets in a hash order that all groups share, so that groups of the same sets have the same ones and their pairs fall together.
+    """
+    mark = F.xxhash64("node", F.lit(turn))
+    chosen = members.groupBy(F.col("key").alias("of"), F.pmod(mark, F.lit(pivots)).alias("bucket")).agg(F.min(F.struct(mark.alias("mark"), "node", "root")).alias("p"))
+    chosen = chosen.select("of", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
+    met = members.join(chosen, F.col("key") == F.col("of")).filter("root <> pivot_root")
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+
+def contracted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the roots that new links between them give, as far as their groups still stand apart."""
+    roots = members.select("node", "root").distinct()
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    moved = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    moved = moved.select(F.col("node").alias("of"), F.col("root").alias("new"))
+    return still_apart(members.join(moved, F.col("root") == F.col("of"), "left").select("key", "node", F.coalesce("new", "root").alias("root")))
+
+
+def large_links(members: DataFrame, links: DataFrame, sets_of: Sets, limits: Limits) -> DataFrame:
+    """`links` and more, which connect what all links inside large groups connect.
+
+    Groups are compared in blocks: the members outside a group's largest component against all members. While a member would meet more than Limits.meet others there on average, groups meet a few pivots instead, whatever their size, and components are contracted; pairs inside a component need no comparison.
+    """
+    members = members.withColumn("root", F.col("node"))
+    for turn in range(-1, limits.turns):
+        compared = (F.col("all") - F.col("held")).cast("double") * F.col("all")
+        meet, had = in_blocks(members, limits.block).agg(F.coalesce(F.sum(compared), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+        if meet <= limits.meet * had:
+            break
+        if turn < 0:
+            stars = stash(components(links).select(F.col("root").alias("a"), F.col("node").alias("b")), "stars")
+            links = stars.select("a", "b")
+            members = still_apart(members.join(stars, F.col("node") == F.col("b"), "left").select("key", "node", F.coalesce("a", "node").alias("root")))
+        else:
+            new = sets_of.links(pivot_pairs(members, turn, limits.pivots))
+            links, members = links.unionAll(new), contracted(members, new)
+    placed = members.join(in_blocks(members, limits.block), F.col("key") == F.col("of")).withColumn("outer", F.col("root") != F.col("main"))
+    at = F.when(F.col("outer"), F.pmod(F.xxhash64("node"), F.col("outers"))).otherwise(F.col("outers") + F.pmod(F.xxhash64("node"), F.col("inners"))).cast("int")
+    # an outer block meets every block, an inner one the outer ones only
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("outer"), F.col("outers") + F.col("inners") - 1).otherwise(F.col("outers") - 1)))
+    spread = placed.select("node", "key", at.alias("at"), other.alias("other")).select("node", "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    own = sets_of.of(members.select(F.col("node").alias("want")))
+    filled = spread.join(own.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).select("node", "key", "i", "j", "tokens")
+    return links.unionAll(filled.groupBy("key", "i", "j").applyInPandas(links_of_blocks(sets_of.percent), "a binary, b binary"))
+
+
+def classes_and_links(docs: DataFrame, text: str, width: int, percent: int, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of each row, and links (a, b) between nodes that connect what all links connect."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50")
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     bits = ", ".join(f"{b} long" for b in SKETCH)
-    seen = stash(rows.mapInArrow(survey(width), f"doc_id long, n long, node binary, {bits}, wide binary, token long, seen long"), "shingles")
-    classes = seen.filter("token is null").select("doc_id", "n", "node", *SKETCH, "wide")
-    often = seen.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= FREQUENT)
+    seen = stash(rows.mapInArrow(survey(width), f"doc_id long, mark long, n long, node binary, {bits}, wide binary, token long, seen long"), "shingles")
+    classes = seen.filter("token is null").select("doc_id", "mark", "n", "node", *SKETCH, "wide")
+    often = seen.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= limits.frequent)
     top = often.orderBy(F.desc("seen"), "token").limit(FREQUENT_MOST).toArrow()
     shared = spark.sparkContext.broadcast((top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy()))  # FREQUENT_MOST at most
-    keys = rows.mapInArrow(index(width, percent, shared), "key long, node binary, n int, stands int, at int")
-    grouped = keys.repartition("key").sortWithinPartitions("key", "n", "node")
-    found = stash(grouped.mapInArrow(pair_up(percent), "a binary, b binary, key long, rank long"), "candidates")
-    large = found.filter("b is null").select(F.col("a").alias("node"), "key", (F.col("rank") / BLOCK).cast("int").alias("block"))
-
-    # sketches settle most pairs that do not link; the short ones first, as only wide ones tell long sets apart.
-    # Dealt by `a`, distinct and the first join need no shuffle of their own.
+    keys = rows.select("text").mapInArrow(index(width, percent, shared, limits.pair_size), "key long, node binary, n int, stands int, at int")
+    grouped = keys.repartition("key").sortWithinPartitions("key", "node")
+    found = stash(grouped.mapInArrow(pair_up(percent, limits.group), "a binary, b binary, key long"), "candidates")
     nodes = classes.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in (*SKETCH, "wide")])
-    nodes = stash(nodes, "nodes")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(k).alias(f"{x}_{k}") for k in SKETCH])
-    apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    both = F.col("a_n") + F.col("b_n")
-    near = found.filter("b is not null").select("a", "b").repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
-    near = stash(near.select("a", "b", "a_n", "b_n"), "near")
-    wide = nodes.filter("wide is not null")
-    wide_a, wide_b = wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), wide.select(F.col("node").alias("b"), F.col("wide").alias("y"))
-    both_wide = F.least("a_n", "b_n") > WIDE
-    nearer = near.filter(both_wide).join(wide_a, "a").join(wide_b, "b").select("a", "b", "a_n", "b_n", "x", "y").mapInArrow(still_near(percent), "a binary, b binary")
-    pairs = stash(nearer.unionAll(near.filter(~both_wide).select("a", "b")), "pairs")
-
-    # the sets of all candidates; a class stands for all its documents
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).unionAll(large.select(F.col("node").alias("want"))).distinct()
-    chosen = nodes.select("node", "first").join(wanted, F.col("node") == F.col("want"), "left_semi")
-    held = rows.join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first")).select("node", "text")
-    own = stash(held.mapInArrow(packed(width), "node binary, tokens binary"), "sets")
-    left, right = own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), own.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    links = stash(met.mapInArrow(verify(percent), "a binary, b binary"), "verified")
-
-    blocks = large.groupBy(F.col("key").alias("of")).agg(F.max("block").alias("last"))
-    other = F.explode(F.sequence(F.lit(0), F.col("last")))
-    spread = large.join(blocks, F.col("key") == F.col("of")).select("node", "key", "block", other.alias("other"))
-    spread = spread.select("node", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    filled = spread.join(own.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).select("node", "key", "i", "j", "tokens")
-    more = filled.groupBy("key", "i", "j").applyInPandas(links_of_blocks(percent), "a binary, b binary")
-    return classes, links.unionAll(more)
+    sets_of = Sets(rows, stash(nodes, "nodes"), width, percent)
+    links = sets_of.links(found.filter("b is not null"))
+    members = found.filter("b is null").select("key", F.col("a").alias("node"))
+    return classes, links if members.isEmpty() else large_links(members, links, sets_of, limits)
 
 
-def join(docs: DataFrame, text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs."""
-    classes, links = classes_and_links(docs, text, width, percent)
+def placed(docs: DataFrame, text: str, width: int, percent: int, limits: Limits) -> DataFrame:
+    """doc_id, mark (a hash of the text), n, and least: (no id, doc_id, mark) of the first document in its component."""
+    classes, links = classes_and_links(docs, text, width, percent, limits)
     roots = components(links)
-    firsts = classes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    firsts = classes.filter("node is not null").groupBy("node").agg(F.min(own).alias("first"))
     named = firsts.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("least"))
     named = named.join(least, F.col("root") == F.col("of")).select(F.col("node").alias("of_node"), "least")
-    whole = classes.join(named, F.col("node") == F.col("of_node"), "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return classes.join(named, F.col("node") == F.col("of_node"), "left").select("doc_id", "mark", "n", F.coalesce("least", own).alias("least"))
+
+
+def join(docs: DataFrame, text: str = "text", width: int = 3, percent: int = 90, limits: Limits = LIMITS) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of docs."""
+    return placed(docs, text, width, percent, limits).select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"))
 
 
-def dedup(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose doc_id is the smallest of their component, with all their columns."""
-    keep = join(docs, text, width, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_doc_id")), "left_semi")
+def dedup(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 80, limits: Limits = LIMITS) -> DataFrame:
+    """One row of each component, with all its columns."""
+    found = placed(docs, text, width, percent, limits)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))).select(F.coalesce("doc_id", F.lit(NO_ID)), "mark").distinct()
+    return one_of_each(docs, keep, [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(text)], text)
