@@ -64,16 +64,47 @@ def test_language(spark, docs):
     assert language.identify(docs).count() == len(TEXTS)
 
 
-def test_cross_parsing_counts_phrases():
-    sample, text = "abracadabra", "abradabracab"
-    p = language.Parser((("x", sample),))
+def greedy_phrases(text, sample):
     at = phrases = 0
     while at < len(text):
         k = 1
         while at + k < len(text) and text[at : at + k + 1] in sample:
             k += 1
         at, phrases = at + k, phrases + 1
-    assert p.phrases([p.symbols(text)])[0, 0] == phrases
+    return phrases
+
+
+def test_cross_parsing_counts_phrases():
+    random = np.random.default_rng(2)
+    draw = lambda letters, n: "".join(random.choice(list(letters), n))
+    samples = ("abracadabra", re.sub(" +", " ", draw("abc ", 900)), draw("абвгд漢字𐐨𐐩", 700), "zz")
+    texts = ["abradabracab", draw("abcd", 300), draw("абвгд漢字𐐨𐐩ж", 400), "q" * 30, "a", "𐐨" * 9]
+    p = language.Parser(tuple((str(k), s) for k, s in enumerate(samples)))
+    found = p.phrases([p.symbols(t) for t in texts])
+    for i, text in enumerate(texts):
+        for k, sample in enumerate(samples):
+            assert found[i, k] == greedy_phrases(text, sample), (i, k)
+    long = draw("abc", 5000)
+    assert p.phrases([p.symbols(long)])[0, 1] == sum(greedy_phrases(long[k : k + language.BLOCK], samples[1]) for k in range(0, 5000, language.BLOCK))
+
+
+def test_language_with_a_tenth_of_the_sample(spark):
+    """Scripts of more letters than any Latin alphabet, letters beyond 16 bits, and unequal samples."""
+    random = np.random.default_rng(3)
+    alphabets = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 300))), "uk": "абвгдежзийклмнопрстуфхцчшщьєіїґюя", "so": "".join(map(chr, range(0x10480, 0x1049E)))}
+    vocabulary = {k: ["".join(random.choice(list(a), random.integers(2, 8))) for _ in range(60)] for k, a in alphabets.items()}
+    say = lambda k: " ".join(random.choice(vocabulary[k], 40))
+    rows = [(i, say(k), k) for i, k in enumerate(k for k, n in (("el", 60), ("ru", 60), ("zh", 60), ("uk", 6), ("so", 6)) for _ in range(n))]
+    rows += [(1000 + i, say(k), None) for i, k in enumerate(list(alphabets) * 10)]
+    got = by_id(language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.lit(1)).withColumn("size", F.lit(1))))
+    assert all(got[1000 + i]["lang_pred"] == k for i, k in enumerate(list(alphabets) * 10))
+
+
+def test_language_ties_and_long_only(spark):
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:20]
+    rows = [(i, "same words here", "ab"[k % 2]) for k, i in enumerate(known)] + [(50, "xyzzy " * 20_000, "long"), (60, "same words here", None), (61, "xyzzy xyzzy", None)]
+    got = by_id(language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert got[60]["lang_pred"] == "a" and got[60]["score"] == pytest.approx(0.5, abs=0.01) and got[61]["lang_pred"] == "long"
 
 
 def test_lm(docs):
@@ -126,22 +157,34 @@ def test_jaccard(docs, width, percent):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
 
 
-@pytest.mark.parametrize("pair_size", [300, 0])
-def test_jaccard_large_groups(spark, monkeypatch, pair_size):
-    """Groups over the limit go through blocks; near copies of one text at many distances."""
-    for name, value in (("GROUP", 3), ("BLOCK", 4), ("FREQUENT", 2), ("PAIR_SIZE", pair_size)):
-        monkeypatch.setattr(jaccard, name, value)
-    random = np.random.default_rng(5)
-    base = [f"w{i}" for i in range(80)]
-    texts = []
-    for i in range(40):
+def near_copies(n, seed):
+    random = np.random.default_rng(seed)
+    base, texts = [f"w{i}" for i in range(80)], []
+    for i in range(n):
         w = list(base)
         for k in random.choice(80, i % 6, replace=False):
             w[k] = f"e{i}_{k}"
         texts.append((i, " ".join(w[: 80 - i % 3])))
+    return texts
+
+
+@pytest.mark.parametrize("limits", [{"pair_size": 300}, {"pair_size": 0}, {"turns": 0}, {"turns": 1, "pivots": 1}, {"block": 1000}])
+def test_jaccard_large_groups(spark, limits):
+    """Groups over the limit go by pivots and blocks; near copies of one text at many distances, and texts that share a frequent passage only."""
+    texts = near_copies(40, 5) + [(100 + i, " ".join([*(f"w{k}" for k in range(20)), *(f"o{i}_{k}" for k in range(3))])) for i in range(12)]
     want = brute_components(texts, 3, 90)
-    got = jaccard.join(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), width=3, percent=90)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    limits = jaccard.Limits(**{"frequent": 2, "group": 3, "block": 4, "meet": 1, "pivots": 2, "turns": 2} | limits)
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, width=3, percent=90, limits=limits).collect()} == want
+
+
+def test_jaccard_dedup_keeps_one_row_of_a_class(spark):
+    long = " ".join(f"v{i}" for i in range(20_000))
+    rows = [(1, BASE, 1, 2), (2, BASE + " tail", 1, 2), (2, BASE + " tail", 1, 2), (3, long, 1, 2), (4, long + " x", 1, 2), (5, "alone", 1, 2), (5, "alone", 1, 2), (5, "alone", 0, 2), (None, None, 1, 2), (None, "nobody", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key0 int, rank int")
+    got = jaccard.dedup(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["key0"]) for r in got.collect()) == [(0, 1), (0, 1), (1, 1), (3, 1), (5, 0)]
 
 
 def test_components(spark):
@@ -207,15 +250,75 @@ def test_em_finds_a_bad_rule():
     assert abs(good - 0.7) < 0.08 and ((post > 0.5) == truth).mean() > 0.88
 
 
-def test_warc(spark, monkeypatch):
-    monkeypatch.setattr(warc, "CHUNK", 7)
-    pages = spark.createDataFrame([(1, "http://a\r\nX: y", "<p>ü</p>" * 5, 9), (2, None, None, 9), (3, "u", "", 9), (7, "u", "<p>ü</p>" * 5, 9), (4, "v", "x" * 100, 9), (None, "w", "alone", 9)], "page_id long, url string, html string, chunk int")
-    got = {r["page_id"]: r for r in warc.read(warc.write(pages)).collect()}
-    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
-    assert (got[1]["record_type"], got[1]["refers_to"]) == ("revisit", 7) and got[7]["record_type"] == "response"
-    assert (got[2]["record_type"], got[2]["refers_to"], got[3]["record_type"]) == ("revisit", 3, "response")
-    assert got[4]["payload_bytes"] == 100 and got[4]["payload_digest"] == digest(b"x" * 100) and got[2]["payload_digest"] == digest(b"")
-    assert got[None]["record_type"] == "response"
+PAGES = [(1, "http://a\r\nX: y", "<p>ü</p>" * 5, 9), (2, None, None, 9), (3, "u", "", 9), (7, "u", "<p>ü</p>" * 5, 9), (4, "v", "x" * 100, 9), (4, "v", "x" * 100, 9), (None, "w", "alone", 9), (5, "crlf", "\r\n\r\n" * 9, 9)]
+
+
+@pytest.fixture(scope="module")
+def chunked(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, chunk int")
+    return warc.write(pages.repartition(2), size=7)
+
+
+def base32(b):
+    return base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+
+def brute_records():
+    out = []
+    for page, _, html, _ in PAGES:
+        raw = (html or "").encode()
+        largest = max((p for p, _, h, _ in PAGES if (h or "") == (html or "") and p is not None), default=None)
+        out.append((page, len(raw), base32(raw), "response" if page == largest else "revisit", None if page == largest else largest))
+    return sorted(out, key=repr)
+
+
+def records(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_warc_round_trip(spark, chunked):
+    assert records(warc.read(chunked)) == brute_records()
+    assert records(warc.read(chunked.orderBy(F.rand(3)))) == brute_records()
+    assert chunked.agg(F.max("chunk")).first()[0] == 1 + -(-100 // 7)
+    again = warc.write(spark.createDataFrame(PAGES, "page_id long, url string, html string, chunk int").repartition(2), size=7)
+    assert {r["record_id"] for r in again.collect()} == {r["record_id"] for r in chunked.collect()}
+
+
+def test_warc_file_by_an_independent_parser(chunked):
+    """Joined bytes of each archive, cut by Content-Length alone."""
+    found = []
+    for archive in {r["archive"] for r in chunked.select("archive").collect()}:
+        raw = b"".join(bytes(r["data"]) for r in chunked.filter(F.col("archive") == archive).orderBy("record_id", "chunk").collect())
+        while raw:
+            head, raw = raw.split(b"\r\n\r\n", 1)
+            fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+            n = int(fields[b"Content-Length"])
+            body, end, raw = raw[:n], raw[n : n + 4], raw[n + 4 :]
+            assert end == b"\r\n\r\n"
+            if fields[b"WARC-Type"] == b"response":
+                assert fields[b"WARC-Payload-Digest"] == b"sha1:" + base32(body).encode()
+            found.append((fields[b"X-Page-Id"].decode(), fields[b"WARC-Type"].decode(), body))
+    assert sorted(b for _, kind, b in found if kind == "response") == sorted((h or "").encode() for (p, _, h, _) in PAGES if (p, "response") in {(r[0], r[3]) for r in brute_records()})
+    joined = warc.payloads(chunked).groupBy("archive", "record_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "data"))).alias("d")).collect()
+    assert sorted(b"".join(bytes(x["data"]) for x in r["d"]) for r in joined) == sorted(b for _, kind, b in found if b)
+
+
+@pytest.mark.parametrize("harm", ["first", "middle", "last", "swapped", "changed", "unreferred"])
+def test_warc_damage_is_an_error(spark, chunked, harm):
+    long = chunked.groupBy("record_id").count().orderBy(F.desc("count")).first()
+    own = F.col("record_id") == long["record_id"]
+    if harm in ("first", "middle", "last"):
+        bad = chunked.filter(~(own & (F.col("chunk") == {"first": 0, "middle": 2, "last": long["count"] - 1}[harm])))
+    elif harm == "swapped":
+        bad = chunked.withColumn("chunk", F.when(own & F.col("chunk").isin(1, 2), 3 - F.col("chunk")).otherwise(F.col("chunk")))
+        bad = bad.withColumn("data", F.when(own & (F.col("chunk") == 1), F.lit(b"y" * 7)).otherwise(F.col("data")))
+    elif harm == "changed":
+        bad = chunked.withColumn("data", F.when(own & (F.col("chunk") == 1), F.lit(b"xxxxxxy")).otherwise(F.col("data")))
+    else:
+        empty = chunked.filter((F.col("chunk") == 0) & F.decode("data", "utf-8").contains("X-Page-Id: 3\r")).first()["record_id"]
+        bad = chunked.filter(F.col("record_id") != empty)
+    with pytest.raises(Exception, match="whole|damaged|end where|no response"):
+        warc.read(bad).collect()
 
 
 def test_pieces(spark, docs):
