@@ -397,8 +397,8 @@ class Sets:
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(k).alias(f"{x}_{k}") for k in SKETCH])
         apart = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
         both = F.col("a_n") + F.col("b_n")
-        # dealt by `a`, distinct and the first join need no shuffle of their own
-        near = pairs.select("a", "b").repartition("a").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
+        # dealt by `b`, as a pivot is `a` in many pairs; distinct and the first join need no shuffle of their own
+        near = pairs.select("a", "b").repartition("b").distinct().join(side("b"), "b").join(side("a"), "a").filter(apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
         near = stash(near.select("a", "b", "a_n", "b_n"), "near")
         wide = self.nodes.filter("wide is not null")
         wide_a, wide_b = wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), wide.select(F.col("node").alias("b"), F.col("wide").alias("y"))
@@ -443,7 +443,7 @@ def pivot_pairs(members: DataFrame, turn: int, pivots: int) -> DataFrame:
     chosen = members.groupBy(F.col("key").alias("of"), F.pmod(mark, F.lit(pivots)).alias("bucket")).agg(F.min(F.struct(mark.alias("mark"), "node", "root")).alias("p"))
     chosen = chosen.select("of", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
     met = members.join(chosen, F.col("key") == F.col("of")).filter("root <> pivot_root")
-    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    return met.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
 
 
 def contracted(members: DataFrame, links: DataFrame) -> DataFrame:
