@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkledger.llm import components, exact_dedup, jaccard, language, lm, mixing, pieces, quality, substrings, toxicity, warc
 
+SF = "/root/testdata/sf0.01"
 BASE = " ".join(f"word{i % 37}x{i}" for i in range(120))
 TEXTS = [
     (1, BASE, "en", "a"), (2, BASE.upper(), "en", "a"), (3, BASE + " tail", "en", "b"), (4, BASE.replace("word5x5 ", ""), "en", "b"), (5, None, None, None), (6, "", "de", "b"), (7, " \n\t ", "de", "c"),
@@ -246,10 +247,45 @@ def test_em_finds_a_bad_rule():
     random = np.random.default_rng(1)
     truth = random.random(4000) < 0.7
     votes = np.stack([np.where(random.random(4000) < acc, np.where(truth, 1, -1), np.where(truth, -1, 1)) for acc in (0.9, 0.85, 0.8, 0.5)], axis=1)
-    _, good, post = quality.estimate(votes, np.ones(4000))
+    _, good, post = quality.estimate(votes, np.ones(4000), false_most=1)
     assert abs(good - 0.7) < 0.08 and ((post > 0.5) == truth).mean() > 0.88
 
 
+def test_em_sums_are_those_of_a_plain_loop():
+    patterns = np.array([[1, -1], [1, 0], [0, -1], [-1, 0]])
+    counts = np.array([5.0, 80.0, 3.0, 12.0])
+    like, good, post = quality.estimate(patterns, counts, rounds=1, false_most=1)
+    hit, false = quality.START_HIT, quality.START_FALSE
+    p = {1: {-1: false, 0: 1 - hit - false, 1: hit}, 0: {-1: hit, 0: 1 - hit - false, 1: false}}
+    for row, x in zip(patterns.tolist(), post, strict=True):
+        up, down = quality.START_GOOD * p[1][row[0]] * p[1][row[1]], (1 - quality.START_GOOD) * p[0][row[0]] * p[0][row[1]]
+        assert x == pytest.approx(up / (up + down))
+    assert good == pytest.approx((sum(post * counts) + quality.PSEUDO * quality.START_GOOD) / (100 + quality.PSEUDO))
+    assert like.sum(axis=2) == pytest.approx(1)
+
+
+def registry():
+    return pytest.importorskip("inkledger.llm.registry").queries()
+
+
+def test_op5_verdict_decides(spark):
+    """Through the query: base counts by brute force, and the method drops faults that the base rules leave while labelled good documents stay."""
+    rows = by_id(registry()["op5_quality_rules"](spark, SF))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert rows.keys() == texts.keys()
+    for i, t in texts.items():
+        w = words(t)
+        grams = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = len({p for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)})
+        assert (rows[i]["n_words"], rows[i]["word_chars"], rows[i]["n_repeat_words"]) == (len(w), sum(map(len, w)), covered)
+        assert rows[i]["base_failed"] == (len(w) < 20 or 100 * covered > 30 * len(w))
+        assert not (rows[i]["base_failed"] and rows[i]["kept"])
+    quality_of = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] is not None}
+    passed = lambda q: [i for i, v in quality_of.items() if v == q and not rows[i]["base_failed"]]
+    kept = lambda q: sum(rows[i]["kept"] for i in passed(q)) / len(passed(q))
+    assert kept(0) < 0.2 and kept(1) > 0.98
+
+
 PAGES = [(1, "http://a\r\nX: y", "<p>ü</p>" * 5, 9), (2, None, None, 9), (3, "u", "", 9), (7, "u", "<p>ü</p>" * 5, 9), (4, "v", "x" * 100, 9), (4, "v", "x" * 100, 9), (None, "w", "alone", 9), (5, "crlf", "\r\n\r\n" * 9, 9)]
 
 
