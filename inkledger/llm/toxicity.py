@@ -1,8 +1,10 @@
 """Toxicity by a learned lexicon, matched through Levenshtein automata, with context scores.
 
 The lexicon holds words and word beginnings that labelled toxic documents share
-and clean ones do not. A term counts by how many distinct texts it is in, so that the
-words of one text that was copied many times do not enter. Each distinct
+and clean ones do not. A term counts by how many texts it is in, near copies taken
+for one, so that the words of one text that was copied many times do not enter;
+and of all words that are in toxic texts only, a test at a fixed false discovery rate
+leaves out those that so many words would show by chance. Each distinct
 token is looked up once: as a term, as a term's inflection, as a disguised
 term (digits, signs or doubled letters in its place), or as a misspelt term,
 found by walking the lexicon's trie with the rows of a Levenshtein automaton that allows
@@ -22,22 +24,27 @@ rows; other columns are ignored by `score` and pass through `drop_toxic`.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.llm.common import Words, slices, stash
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
-#: A term is in at least so many of the sampled toxic documents, in so many distinct texts, and this share of its documents is toxic.
-TERM_DOCS, TERM_TEXTS, TERM_PURITY = 4, 4, 0.93
+#: A term is in at least so many of the sampled toxic texts, and this share of its texts is toxic; near copies are one text.
+TERM_TEXTS, TERM_PURITY = 4, 0.93
+#: A text of fewer distinct words has near copies only in texts of the same words.
+SHORT = 20
+#: The share of terms that may be there by chance.
+FALSE_TERMS = 0.02
 STEM_LENGTHS = range(4, 8)
 #: Shorter terms are not matched with an edit.
 EDIT_LENGTH = 5
@@ -240,30 +247,64 @@ def terms_of(text: str) -> Iterator[tuple[str, str]]:
                     yield w[:n] + "*", w
 
 
-def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch_of(text: str) -> int:
+    """A mark that near copies mostly share and other texts hardly ever do: the least of each of two hashes over the words; of a few words, they themselves."""
+    words = set(text.lower().encode("utf-8", "surrogatepass").split())
+    if len(words) < SHORT:
+        return xxhash.xxh3_64_intdigest(b" ".join(sorted(words))) >> 1
+    both = b"".join(min(xxhash.xxh3_64_digest(w, seed) for w in words) for seed in (1, 2))
+    return xxhash.xxh3_64_intdigest(both) >> 1
+
+
+def term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, word, of, toxic): the terms of each text, the words they cover, and a mark that near copies share."""
     for whole in batches:
         for batch in slices(whole, most=1 << 20):
-            by = (Counter(), Counter())
+            out: list[tuple[str, str, int, int]] = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                by[toxic].update({t for t, _ in terms_of(text)})
-            both = list(by[0].keys() | by[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([by[1][t] for t in both], pa.int64()), pa.array([by[0][t] for t in both], pa.int64())], ["term", "toxic", "clean"])
+                of = sketch_of(text)
+                out.extend((term, word, of, toxic) for term, word in set(terms_of(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], ["term", "word", "of", "toxic"])
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    counts = rows.mapInArrow(count_batches, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    pure = counts.filter((F.col("toxic") >= TERM_DOCS) & (F.col("toxic") >= TERM_PURITY * (F.col("toxic") + F.col("clean"))))
-    likely = frozenset(r["term"] for r in pure.select("term").collect())
+def chance(toxic: int, clean: int, share: float) -> float:
+    """How likely a term without meaning is in so many toxic texts or more, of so many in all, where a share of all texts is toxic."""
+    n = toxic + clean
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(toxic, n + 1)]
+    return min(1.0, sum(map(math.exp, logs)))
 
-    def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = list({(*x, of) for text, of in zip(batch.column("text").to_pylist(), batch.column("of").to_pylist(), strict=True) for x in terms_of(text) if x[0] in likely})
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["term", "word", "of"])
 
-    seen = rows.filter("toxic = 1").select("text", F.xxhash64("text").alias("of")).mapInArrow(text_batches, "term string, word string, of long").distinct()
-    spread = seen.groupBy("term").agg(F.countDistinct("of").alias("texts"), F.countDistinct("word").alias("words"))
-    kept = spread.filter((F.col("texts") >= TERM_TEXTS) & (~F.col("term").endswith("*") | (F.col("words") >= 3)))
-    terms = sorted(r["term"] for r in kept.collect())
+def told_apart(found: list[tuple[int, int, int]], share: float) -> set[tuple[int, int]]:
+    """Of (toxic, clean, number of such terms), the pairs that pass at a false discovery rate of FALSE_TERMS (Benjamini and Hochberg)."""
+    ranked, seen, last = sorted((chance(a, c, share), a, c, n) for a, c, n in found), 0, -1
+    total = sum(n for _, _, n in found)
+    for k, (p, _, _, n) in enumerate(ranked):
+        seen += n
+        if p * total <= FALSE_TERMS * seen:
+            last = k
+    return {(a, c) for _, a, c, _ in ranked[: last + 1]}
+
+
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    seen = rows.mapInArrow(term_batches, "term string, word string, of long, toxic int")
+    # near copies count once
+    texts = seen.groupBy("term", "of").agg(F.max("toxic").alias("toxic"))
+    counts = stash(texts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("c")), "terms")
+    # a row for each pair of numbers of texts, both bounded by the sample
+    found = [(r["a"], r["c"], r["count"]) for r in counts.filter(F.col("a") + F.col("c") >= TERM_TEXTS).groupBy("a", "c").count().collect()]
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not sizes.get(1):
+        return Lexicon((), ())
+    # where labels are mostly toxic they say little about a rare term; it then has the benefit of the share that a full sample has
+    share = min(sizes[1] / (sizes[1] + sizes.get(0, 0) + 1), TOXIC_ROWS / (TOXIC_ROWS + CLEAN_ROWS))
+    good = [(a, c) for a, c in told_apart(found, share) if a >= TERM_TEXTS and a >= TERM_PURITY * (a + c)]
+    if not good:
+        return Lexicon((), ())
+    chosen = rows.sparkSession.createDataFrame(good, "good_a long, good_c long")
+    kept = counts.join(chosen, (F.col("a") == F.col("good_a")) & (F.col("c") == F.col("good_c"))).select("term")
+    forms = seen.filter(F.col("term").endswith("*") & (F.col("toxic") == 1)).groupBy(F.col("term").alias("of_term")).agg(F.countDistinct("word").alias("words"))
+    kept = kept.join(forms, F.col("term") == F.col("of_term"), "left").filter(~F.col("term").endswith("*") | (F.col("words") >= 3))
+    terms = sorted(r["term"] for r in kept.select("term").collect())
     stems = [t[:-1] for t in terms if t.endswith("*")]
     stems = tuple(s for s in stems if not any(s != o and s.startswith(o) for o in stems))
     return Lexicon(tuple(t for t in terms if not t.endswith("*")), stems)
