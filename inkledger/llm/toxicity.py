@@ -378,7 +378,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns, in one pass over the table."""
-    names = docs.columns
 
     def keep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, rates = matcher(model.lexicon), dict(model.rates)
@@ -387,4 +386,4 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 found = hits(m, batch.column(text).to_pylist())
                 yield batch.filter(pa.array([joined(f, rates) < THRESHOLD for f in found], pa.bool_()))
 
-    return docs.mapInArrow(keep_batches, docs.schema).select(*names)
+    return docs.mapInArrow(keep_batches, docs.schema)
