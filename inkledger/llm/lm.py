@@ -37,14 +37,18 @@ from pyspark.sql import functions as F
 
 from inkledger.llm.common import Words, slices, stash
 
-WORDS, BUCKETS, WIDTH = 896, 127, 24
+WORDS, BUCKETS, WIDTH = 1920, 127, 24
 #: Frequent words whose counts are looked up without a join.
 LOCAL = 40_000
 NOISE, BATCH, RATE = 32, 4096, 0.1
 WARM_DOCS, WARM_PASSES = 400, 4
+#: Training tokens of a shard; shards are averaged in so many groups first.
+SHARD_TOKENS, GROUPS = 250_000, 16
+TASKS_MOST = 10_000
 #: Before a text's first token stand two of these.
 SEED = 7
 FLUSH = 400_000
+TRAIN_CHARS = 4 << 20
 SMOOTH = 0.1
 
 
@@ -147,11 +151,11 @@ def initial(noise: np.ndarray) -> Vectors:
 class Trainer:
     """NCE by Adagrad over batches of (class, token before, token before that)."""
 
-    def __init__(self, vectors: Vectors, noise: np.ndarray, rate: float = RATE):
+    def __init__(self, vectors: Vectors, noise: np.ndarray, rate: float = RATE, seen: list[np.ndarray] | None = None):
         self.v, self.noise, self.rate = vectors, noise, rate
         self.log_kq = np.log(NOISE * noise).astype(np.float32)
         self.cumulative = np.cumsum(noise)
-        self.seen = [np.full(x.shape[0], 1e-2, np.float32) for x in vectors]
+        self.seen = [x.copy() for x in seen] if seen else [np.full(x.shape[0], 1e-2, np.float32) for x in vectors]
         self.random = np.random.default_rng(SEED)
 
     def move(self, which: int, ids: np.ndarray, grads: np.ndarray) -> None:
@@ -210,40 +214,72 @@ def train(rows: DataFrame, counts: Counts) -> Vectors:
     """Vectors after a warm start on a bounded sample and one averaged pass over all rows."""
     noise = noise_of(counts.class_counts())
     warm = Trainer(initial(noise), noise)
-    some = [r["text"] for r in rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 4000).alias("text")).orderBy("h", "text").limit(WARM_DOCS).collect()]
+    mark = F.xxhash64("doc_id", "text")
+    some = [r["text"] for r in rows.select(mark.alias("h"), "text").orderBy("h", "text").limit(WARM_DOCS).collect()]
     for _ in range(WARM_PASSES if some else 0):
         warm.fit(*classes(Words(some, lower=True), counts.frequent)[:3])
     start = warm.v.pack()
-    shared = rows.sparkSession.sparkContext.broadcast((counts, start))
+    shared = rows.sparkSession.sparkContext.broadcast((counts, start, warm.seen))
 
     def train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, start = shared.value
+        counts, start, steps = shared.value
         frequent, _ = local_tables(counts)
-        own, seen = Trainer(unpack(start), noise, RATE / 4), 0
-        for whole in batches:
-            for batch in slices(whole):
-                tokens, a, b, _ = classes(Words(batch.column("text").to_pylist(), lower=True), frequent)
-                own.fit(tokens, a, b)
-                seen += len(tokens)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([own.v.pack()], pa.binary()), pa.array([seen], pa.int64())], ["vectors", "tokens"])
+        shard, own, seen = None, None, 0
+        held: list[str] = []
+
+        def learn() -> None:
+            nonlocal seen
+            tokens, a, b, _ = classes(Words(held, lower=True), frequent)
+            own.fit(tokens, a, b)
+            seen += len(tokens)
+            held.clear()
+
+        def done() -> pa.RecordBatch:
+            if held:
+                learn()
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([own.v.pack()], pa.binary()), pa.array([seen], pa.int64())], ["shard", "vectors", "tokens"])
+
+        size = 0
+        for batch in batches:
+            for of, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if of != shard:
+                    if shard is not None:
+                        yield done()
+                    shard, own, seen, size = of, Trainer(unpack(start), noise, RATE / 10, steps), 0, 0
+                held.append(text)
+                size += len(text)
+                if size >= TRAIN_CHARS:
+                    learn()
+                    size = 0
+        if shard is not None:
+            yield done()
 
     def average_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = None, 0
+        group, total, seen = None, None, 0
+        names = ["shard", "vectors", "tokens"]
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names)
         for batch in batches:
-            for raw, n in zip(batch.column("vectors"), batch.column("tokens").to_pylist(), strict=True):
+            for of, raw, n in zip(batch.column("group").to_pylist(), batch.column("vectors"), batch.column("tokens").to_pylist(), strict=True):
                 x = np.frombuffer(raw.as_py(), np.float32).astype(np.float64) * n
-                total, seen = x if total is None else total + x, seen + n
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["vectors", "tokens"])
-
-    kinds = "vectors binary, tokens long"
-    parts = rows.select("text").mapInArrow(train_batches, kinds)
-    means = parts.repartition(16).mapInArrow(average_batches, kinds).collect()  # 16 rows at most
+                if of != group:
+                    if group is not None:
+                        yield done()
+                    group, total, seen = of, x, n
+                else:
+                    total, seen = total + x, seen + n
+        if group is not None:
+            yield done()
+
+    kinds = "shard long, vectors binary, tokens long"
+    shards = max(1, -(-counts.total // SHARD_TOKENS))
+    dealt = rows.select(F.pmod(mark, F.lit(shards)).alias("shard"), mark.alias("h"), "text").repartition(min(shards, TASKS_MOST), "shard").sortWithinPartitions("shard", "h", "text")
+    parts = dealt.mapInArrow(train_batches, kinds).withColumn("group", F.col("shard") % GROUPS)
+    means = parts.repartition("group").sortWithinPartitions("group", "shard").mapInArrow(average_batches, kinds).collect()  # GROUPS rows at most
     seen = sum(m["tokens"] for m in means)
     if not seen:
         return unpack(start)
-    return unpack(sum(np.frombuffer(m["vectors"], np.float32).astype(np.float64) * (m["tokens"] / seen) for m in means).astype(np.float32).tobytes())
+    whole = sum(np.frombuffer(m["vectors"], np.float32).astype(np.float64) * (m["tokens"] / seen) for m in sorted(means, key=lambda m: m["shard"]))
+    return unpack(whole.astype(np.float32).tobytes())
 
 
 class Scorer:
