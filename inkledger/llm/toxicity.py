@@ -379,11 +379,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns, in one pass over the table."""
 
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names of any kind
+    at = f"c{names.index(text)}"
+
     def keep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, rates = matcher(model.lexicon), dict(model.rates)
         for whole in batches:
-            for batch in slices(whole, column=text):
-                found = hits(m, batch.column(text).to_pylist())
+            for batch in slices(whole, column=at):
+                found = hits(m, batch.column(at).to_pylist())
                 yield batch.filter(pa.array([joined(f, rates) < THRESHOLD for f in found], pa.bool_()))
 
-    return docs.mapInArrow(keep_batches, docs.schema)
+    return plain.mapInArrow(keep_batches, plain.schema).toDF(*names)
