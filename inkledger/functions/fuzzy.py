@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 WORDS_SCALE, NEAR, FAR, PART, LONG_PART = 0.95, 1.5, 8.0, 0.9, 0.6
 SNAP_SCORE = 60
 
+BEST = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("place", T.LongType()), T.StructField("name", T.StringType())])
+
 
 def common_length(a: str, b: str) -> int:
     """Longest common subsequence, bit-parallel: a zero bit of `row` is a place of `a` that is used."""
@@ -93,9 +95,15 @@ def weighted_ratio(a: str | None, b: str | None) -> float:
     return max(plain, scale * partial_ratio(a, b), WORDS_SCALE * scale * partial_word_ratio(a, b))
 
 
-@F.pandas_udf(T.DoubleType())
-def weighted_ratio_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(BEST)
+def best_weighted(reads: pd.Series, lists: pd.Series) -> pd.DataFrame:
+    """The best name of each read's list of (name, place): greatest weighted ratio, then least place."""
+    rows = []
+    for read, names in zip(reads, lists, strict=True):
+        scored = [(weighted_ratio(read, n["name"]), -n["place"], n["name"]) for n in names]
+        rows.append(max(scored, default=(0.0, 0, None)))
+    best = pd.DataFrame(rows, columns=["score", "place", "name"])
+    return best.assign(place=-best["place"])
 
 
 def edit_budget(name: Column) -> Column:

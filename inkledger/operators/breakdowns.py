@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkledger.operators import ranks
+
 TOTAL = "ALL"
 
 
@@ -66,8 +68,11 @@ def markdown(table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, median, p90, p95 by linear interpolation."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.9)).alias("p90"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    """count, mean, median, p90, p95 by linear interpolation; exact, and no task holds a group's values."""
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    cut = ranks.percentiles(rows, by, F.col(value), {"median": 0.5, "p90": 0.9, "p95": 0.95}).withColumnsRenamed({b: f"of_{b}" for b in by})
+    on = [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by]
+    return plain.join(cut, on if on else F.lit(True), "left").drop(*[f"of_{b}" for b in by])
 
 
 def macro_mean(summary: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkledger.functions import text as t
-from inkledger.functions.fuzzy import SNAP_SCORE, edit_budget, weighted_ratio_column
+from inkledger.functions.fuzzy import SNAP_SCORE, best_weighted, edit_budget
 
 CASCADE = 0.9
+#: Names that a read is scored against at once, and the longest beginning that is a key of autocompletion.
+NAME_BLOCK, BEGINNING = 1000, 8
 
 
 def zero(c: Column) -> Column:
@@ -61,25 +63,56 @@ def cross_check(reads: DataFrame) -> DataFrame:
     return rest.unionByName(checked).withColumn("method_label", F.concat("method_label", F.lit("+xcheck")))
 
 
+def piece_keys(known: Column) -> Column:
+    """For each budget, the pieces of a name: budget + 1 of them, so that edits within the budget leave one whole."""
+    size = F.length(known)
+
+    def of(budget: int) -> list[Column]:
+        cuts = [F.floor(size * i / (budget + 1)).cast("int") for i in range(budget + 2)]
+        return [F.struct(F.lit(budget).alias("budget"), size.alias("size"), F.lit(i).alias("i"), F.substr(known, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("piece")) for i in range(budget + 1)]
+
+    return F.array(*[k for budget in (1, 2, 3) for k in of(budget)])
+
+
+def probe_keys(read: Column, budget: Column) -> Column:
+    """The pieces that a name within the budget could share with a read: every size, piece and shift that the edits allow."""
+    length = F.length(read)
+
+    def shifted(size: Column, i: Column, low: Column, high: Column) -> Column:
+        starts = F.filter(F.transform(F.sequence(-budget, budget), lambda d: low + d), lambda s: (s >= 0) & (s + high - low <= length))
+        return F.transform(starts, lambda s: F.struct(budget.alias("budget"), size.alias("size"), i.alias("i"), F.substr(read, s + 1, high - low).alias("piece")))
+
+    def pieces(size: Column) -> Column:
+        cut = lambda i: F.floor(size * i / (budget + 1)).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), budget), lambda i: shifted(size, i, cut(i), cut(i + 1))))
+
+    sizes = F.sequence(F.greatest(F.lit(0), length - budget), length + budget)
+    return F.array_distinct(F.flatten(F.transform(sizes, pieces)))
+
+
 def payer_snap(reads: DataFrame, names: DataFrame) -> DataFrame:
     """The nearest known name within the edit budget, earliest of equal ones.
 
-    reads: read; names: name, place. The list of names is an operator's own and broadcast only through size statistics; distinct reads meet it once.
+    reads: read; names: name, place. Distinct reads meet only names that share a piece at a place the budget allows; distances are exact.
     """
     plain = reads.select("read").distinct().withColumn("plain", t.normalize_free_text(F.col("read"))).filter("plain <> ''")
     known = names.select("name", "place", t.normalize_free_text(F.col("name")).alias("known"))
-    # an edit changes length by one at most
-    near = plain.join(known, F.abs(F.length("plain") - F.length("known")) <= edit_budget(F.col("plain")))
+    keyed = known.withColumn("key", F.explode(piece_keys(F.col("known"))))
+    near = plain.withColumn("key", F.explode(probe_keys(F.col("plain"), edit_budget(F.col("plain"))))).join(keyed, "key").drop("key")
     apart = near.withColumn("distance", F.levenshtein("plain", "known", 3)).filter((F.col("distance") >= 0) & (F.col("distance") <= edit_budget(F.col("plain"))))
     best = apart.groupBy("read").agg(F.min(F.struct("distance", "place", "name")).alias("b")).select("read", F.col("b.name").alias("name"), F.col("b.distance").alias("distance"))
     return reads.join(best, "read", "left")
 
 
 def payee_snap(reads: DataFrame, names: DataFrame, least: float = SNAP_SCORE) -> DataFrame:
-    """The name of best weighted ratio if it reaches `least`, earliest of equal ones. Scores are made for distinct pairs only."""
-    pairs = reads.select("read").distinct().join(names.select("name", "place"))
-    scored = pairs.withColumn("score", weighted_ratio_column("read", "name"))
-    best = scored.groupBy("read").agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "name")).alias("b"))
+    """The name of best weighted ratio if it reaches `least`, earliest of equal ones.
+
+    The ratio has no key that all its pairs share, so each distinct read is scored against the whole list, a block of names at a time: a row per read and block, not per pair.
+    """
+    dealt = names.select("name", "place", F.floor(F.col("place") / NAME_BLOCK).alias("block"))
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("name", F.col("place").cast("bigint").alias("place"))).alias("names")).select("names")
+    scored = reads.select("read").distinct().join(blocks).select("read", best_weighted("read", "names").alias("x"))
+    best = scored.groupBy("read").agg(F.min(F.struct((-F.col("x.score")).alias("s"), F.col("x.place").alias("place"), F.col("x.name").alias("name"))).alias("b"))
     return reads.join(best.select("read", F.when(-F.col("b.s") >= least, F.col("b.name")).alias("name"), (-F.col("b.s")).alias("score")), "read", "left")
 
 
@@ -91,12 +124,18 @@ def last_seen(checks: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def autocomplete(typed: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
-    """Up to `most` names for each typed text: those that begin with it, then those with a word that does, each in list order."""
+    """Up to `most` names for each typed text: those that begin with it, then those with a word that does, each in list order.
+
+    Texts meet only names with a beginning in common, of the text's own length up to BEGINNING characters.
+    """
     t_plain, n_plain = t.normalize_free_text(F.col("typed")), t.normalize_free_text(F.col("name"))
     asked = typed.select("typed", t_plain.alias("t")).distinct().filter(F.length("t") >= 2)
-    known = names.select("name", "place", n_plain.alias("n"))
+    asked = asked.withColumn("key", F.left("t", F.lit(BEGINNING)))
+    starts = F.concat(F.array(F.col("n")), F.split("n", " "))
+    beginnings = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), F.lit(BEGINNING)), lambda k: F.left(s, k))))
+    known = names.select("name", "place", n_plain.alias("n")).withColumn("key", F.explode(F.array_distinct(beginnings)))
     rank = F.when(F.col("n").startswith(F.col("t")), 0).when(F.exists(F.split("n", " "), lambda w: w.startswith(F.col("t"))), 1)
-    met = asked.join(known).filter("n <> t").withColumn("kind", rank).filter("kind is not null")
+    met = asked.join(known, "key").drop("key").filter("n <> t").withColumn("kind", rank).filter("kind is not null")
     return met.withColumn("rank", F.row_number().over(W.partitionBy("typed").orderBy("kind", "place"))).filter(F.col("rank") <= most).select("typed", "rank", "name")
 
 

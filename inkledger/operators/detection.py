@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import geometry as g
 from inkledger.functions.text import let
+from inkledger.operators import ranks
 
 DIAGNOSTIC, REPORTED = 0.1, (0.5, 0.75, 0.9)
 SUPPRESS = 0.5
@@ -114,7 +115,7 @@ def attribute_breakdown(rows: DataFrame, groups: dict[str, Column], measures: li
 
 def top_quartile(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Rows at or above the 75th percentile of their group."""
-    cut = rows.groupBy(*[F.col(b).alias(f"of_{b}") for b in by]).agg(F.percentile(value, F.lit(0.75)).alias("cut"))
+    cut = ranks.percentiles(rows, by, F.col(value), {"cut": 0.75}).withColumnsRenamed({b: f"of_{b}" for b in by})
     on = [F.col(b).eqNullSafe(F.col(f"of_{b}")) for b in by]
     return rows.join(cut, on if on else None).filter(F.col(value) >= F.col("cut")).drop(*[f"of_{b}" for b in by])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import geometry as g
 from inkledger.functions.text import let
+from inkledger.operators.ranks import running
 
 #: Labels hold pixel centres; exports hold pixel edges.
 EDGE = 0.5
@@ -32,10 +33,11 @@ def instance(points: Column, wide: Column, high: Column) -> Column:
 
 
 def numbered(rows: DataFrame, order: list[str], bucket: Column, name: str = "id") -> DataFrame:
-    """Consecutive numbers from 1 in order, without sorting all rows in one task: inside buckets that follow the order, after the sizes of earlier buckets."""
+    """Consecutive numbers from 1 in order, without sorting all rows in one task: inside buckets (numbers that follow the order), after the sizes of earlier buckets, which are summed in two levels themselves."""
     keyed = rows.withColumn("_b", bucket)
     sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = sizes.select(F.col("_b").alias("_of"), (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_ahead"))
+    upto = running(sizes, [], F.floor(F.col("_b") / 4096), ["_b"], {"_upto": F.col("_n")})
+    ahead = upto.select(F.col("_b").alias("_of"), (F.col("_upto") - F.col("_n")).alias("_ahead"))
     inside = F.row_number().over(W.partitionBy("_b").orderBy(*order))
     return keyed.join(ahead, F.col("_b") == F.col("_of")).withColumn(name, (F.col("_ahead") + inside).cast("bigint")).drop("_b", "_of", "_ahead")
 

@@ -1,16 +1,17 @@
 """Coverage against accuracy over a confidence threshold.
 
 A distinct confidence is a threshold: it fills all covered rows at or above
-it. Null confidence ranks below all. Rows are first counted per confidence,
-so the running sums go over distinct confidences, not rows.
+it. Null confidence ranks below all. Rows are first counted per confidence, and
+running sums are made in two levels, by buckets of the confidence.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkledger.operators.ranks import BUCKETS, running, unit_bucket
+
 SLACK = 1e-12
 COVERAGES = (0.80, 0.90, 0.95, 1.00)
 ACCURACIES = (0.95, 0.98, 0.99)
@@ -21,13 +22,18 @@ def with_null_for_nan(rows: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.nanvl("confidence", F.lit(None).cast("double")))
 
 
+def downward(value: Column) -> Column:
+    """The bucket of a confidence when the greatest come first and null last."""
+    return F.coalesce(BUCKETS - 1 - unit_bucket(value), F.lit(BUCKETS))
+
+
 def points(scored: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """by, threshold, filled, right, n, coverage, accuracy: one row per distinct threshold; null is the block without confidence."""
     counted = with_null_for_nan(scored).groupBy(*by, "confidence").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("covered").alias("c"), F.count_if(F.col("covered") & F.col("field_correct")).alias("k")
     )
-    whole, down = W.partitionBy(*by), W.partitionBy(*by).orderBy(F.col("confidence").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = counted.withColumn("n", F.sum("rows").over(whole)).withColumn("filled", F.sum("c").over(down)).withColumn("right", F.sum("k").over(down))
+    sums = {"seen": F.col("rows"), "filled": F.col("c"), "right": F.col("k")}
+    run = running(counted, list(by), downward(F.col("confidence")), [F.col("confidence").desc_nulls_last()], sums).withColumnRenamed("all_seen", "n")
     return run.filter("c > 0").select(*by, F.col("confidence").alias("threshold"), "filled", "right", "n", (F.col("filled") / F.col("n")).alias("coverage"), (F.col("right") / F.col("filled")).alias("accuracy"))
 
 
@@ -56,8 +62,8 @@ def summary(scored: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
 
 def curve(scored: DataFrame, by: tuple[str, ...] = BY, most: int = 21) -> DataFrame:
     """At most `most` points of each curve, evenly by rank."""
-    ranks = points(scored, by).withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy(F.col("threshold").desc_nulls_last())) - 1)
-    ranks = ranks.withColumn("last", F.count(F.lit(1)).over(W.partitionBy(*by)) - 1)
+    ranks = running(points(scored, by), list(by), downward(F.col("threshold")), [F.col("threshold").desc_nulls_last()], {"i": F.lit(1)})
+    ranks = ranks.withColumn("i", F.col("i") - 1).withColumn("last", F.col("all_i") - 1).drop("all_i")
     wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * F.col("last") / (most - 1)).cast("bigint"))
     return ranks.filter(F.array_contains(wanted, F.col("i").cast("bigint"))).drop("i", "last")
 
@@ -89,8 +95,7 @@ def most_coverage(scored: DataFrame, target: float, by: tuple[str, ...] = BY) ->
 
 def top_half_accuracy(scored: DataFrame, by: tuple[str, ...], order: list[Column]) -> DataFrame:
     """Accuracy of the more confident half, at least one row."""
-    w = W.partitionBy(*by)
-    rows = scored.withColumn("i", F.row_number().over(w.orderBy(F.col("confidence").desc_nulls_last(), *order))).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = running(scored, list(by), downward(F.col("confidence")), [F.col("confidence").desc_nulls_last(), *order], {"i": F.lit(1)}).withColumnRenamed("all_i", "n")
     return rows.filter(F.col("i") <= F.greatest(F.lit(1), F.floor(F.col("n") / 2))).groupBy(*by).agg(F.avg(F.col("field_correct").cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
@@ -98,5 +103,5 @@ def confidence_percentile(rows: DataFrame, reference: DataFrame, by: list[str])
     """Share of the reference's confidences at or below each row's, by one running count over both."""
     both = rows.withColumn("ref", F.lit(0)).unionByName(reference.select(*by, "confidence").withColumn("ref", F.lit(1)), allowMissingColumns=True)
     counted = both.groupBy(*by, "confidence").agg(F.sum("ref").alias("r"))
-    run = counted.withColumn("below", F.sum("r").over(W.partitionBy(*by).orderBy("confidence").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("all", F.sum("r").over(W.partitionBy(*by)))
-    return rows.join(run.select(*by, "confidence", F.try_divide("below", "all").alias("percentile")), [*by, "confidence"])
+    run = running(counted, by, F.coalesce(unit_bucket(F.col("confidence")), F.lit(-1)), ["confidence"], {"below": F.col("r")})
+    return rows.join(run.select(*by, "confidence", F.try_divide("below", "all_below").alias("percentile")), [*by, "confidence"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import text as t
+from inkledger.operators.ranks import percentiles
 
 #: Statuses of rows that count for accuracy, and of those that have a box.
 OK, TOO_SMALL = "ok", "too_small"
@@ -32,8 +33,22 @@ def only_predicted(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def with_canonical(rows: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Field rows with the canonical values of their check; canonical has one row per check."""
-    return rows.join(canonical, ["scene_id", "check_index"], "left")
+    """Field rows with the canonical values of their check; a check that stands twice in canonical is an error."""
+    return rows.join(one_row_each(canonical, ["scene_id", "check_index"]), ["scene_id", "check_index"], "left")
+
+
+def one_row_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows as they are; reading a key that stands more than once fails the query."""
+    others = [c for c in rows.columns if c not in keys]
+    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*others)).alias("_r"))
+    told = F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*keys))))
+    return held.withColumn("_r", F.when(F.col("_n") == 1, F.col("_r")).otherwise(told)).select(*keys, "_r.*")
+
+
+def with_hard_sets(truth: DataFrame, flags: DataFrame, names: tuple[str, ...] = ("small_text", "low_contrast", "degraded", "handwritten_degraded", "printed_degraded", "in_hard_set")) -> DataFrame:
+    """Truth rows with their hard-set flags by row_key, false where a row has none; a key may stand once in flags."""
+    known = one_row_each(flags.select("row_key", *names), ["row_key"])
+    return truth.join(known, "row_key", "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
 
 
 def check_rows(rows: DataFrame) -> DataFrame:
@@ -46,12 +61,14 @@ def score_rows(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """A row for every truth row and every method, blank where the method has none.
 
     truth: row_key, field_name, text, canonical_* and any other columns.
-    predictions: method_label, row_key, pred_text, confidence.
+    predictions: method_label, row_key, pred_text, confidence. Those without a method are left out; a method that has a row twice is an error.
+    A row's reads meet it once, as a map by method, so truth is shuffled once and not once a method.
     """
-    methods = predictions.select("method_label").distinct()  # a handful of names
-    pairs = truth.crossJoin(methods)
-    joined = pairs.join(predictions.select("method_label", "row_key", "pred_text", "confidence"), ["method_label", "row_key"], "left")
-    joined = joined.withColumn("pred_text", F.coalesce("pred_text", F.lit("")))
+    named = predictions.filter("method_label is not null")
+    reads = named.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("method_label", F.struct("pred_text", "confidence").alias("r")))).alias("_reads"))
+    methods = named.agg(F.sort_array(F.collect_set("method_label")).alias("_methods"))  # one row
+    each = truth.join(reads, "row_key", "left").crossJoin(methods).withColumn("method_label", F.explode("_methods")).withColumn("_read", F.try_element_at("_reads", "method_label"))
+    joined = each.withColumn("pred_text", F.coalesce("_read.pred_text", F.lit(""))).withColumn("confidence", F.col("_read.confidence")).drop("_reads", "_methods", "_read")
     field = F.col("field_name")
     canonical = t.canonical_value(field, F.col("canonical_amount_cents"), F.col("canonical_date_iso"), F.col("canonical_check_number"))
     valued = joined.select("*", t.field_value(field, F.col("pred_text")).alias("pred_value"), F.coalesce(t.field_value(field, F.col("text")), canonical).alias("gt_value"), t.normalize_free_text(F.col("pred_text")).alias("pred_plain"), t.normalize_free_text(F.col("text")).alias("gt_plain"))
@@ -83,11 +100,11 @@ def height_bin(height: Column) -> Column:
 def hard_set_flags(rows: DataFrame) -> DataFrame:
     """Small text, low contrast (below the field's first quartile among ok rows), and the slices made of them.
 
-    rows: field_name, status, contrast, text_height, handwritten, money_order. The quartile is an aggregate joined back, so a field's rows never meet in one task.
+    rows: field_name, status, contrast, text_height, handwritten, money_order. The quartile is ranked in two levels and joined back, so a field's rows never meet in one task.
     """
     ok = F.col("status") == OK
-    first = rows.groupBy(F.col("field_name").alias("of")).agg(F.percentile(F.when(ok, F.col("contrast")), F.lit(0.25)).alias("q1"))
-    known = rows.join(F.broadcast(first), F.col("field_name").eqNullSafe(F.col("of"))).drop("of")  # a dozen field names
+    first = percentiles(rows, ["field_name"], F.when(ok, F.col("contrast")), {"q1": 0.25}).withColumnRenamed("field_name", "of")
+    known = rows.join(first, F.col("field_name").eqNullSafe(F.col("of")), "left").drop("of")
     small = F.col("text_height").between(14, 18) & (F.col("text_height") < 18)
     low = F.coalesce(ok & (F.col("contrast") < F.col("q1")), F.lit(False))
     flagged = known.withColumn("small_text", small).withColumn("low_contrast", low).withColumn("degraded", F.col("small_text") | F.col("low_contrast"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkledger.functions.hashing import md5_number, split_score
+from inkledger.operators.ranks import BUCKETS, running, unit_bucket
 
 TRAIN, VAL, TEST = "train", "val", "eval"
 SHARE, OPEN_POOL = 0.15, 50
@@ -20,17 +21,22 @@ def held_out_count(n: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(n * SHARE).cast("int"))
 
 
+def dealt(ids: DataFrame, score: Column, by: list[str]) -> DataFrame:
+    """`deal` with the size of each group in `group_size`."""
+    later = (~F.col("held_first")).cast("int")
+    bucket = later * BUCKETS + F.coalesce(unit_bucket(F.col("score")), F.lit(0))
+    rows = running(ids.withColumn("score", score), by, bucket, [later, "score", "id"], {"rank": F.lit(1), "held": F.col("held_first").cast("int")})
+    rows = rows.withColumnRenamed("all_rank", "group_size").withColumn("e", held_out_count(F.col("group_size")))
+    rows = rows.withColumn("e", F.when(2 * F.col("e") >= F.col("group_size"), 1).otherwise(F.col("e"))).withColumn("v", F.greatest(F.col("e"), F.col("all_held") - F.col("e")))
+    return rows.withColumn("split", F.when(F.col("rank") <= F.col("e"), TEST).when(F.col("rank") <= F.col("e") + F.col("v"), VAL).otherwise(TRAIN)).drop("held", "all_held", "rank", "e", "v")
+
+
 def deal(ids: DataFrame, score: Column, by: list[str]) -> DataFrame:
     """Rank each group by (held first, score, id): the first go to eval, the next to val, the rest to train. Groups of one stay whole in train.
 
-    ids: id, held_first and the group columns. Groups are registries of names, small by nature.
+    ids: id, held_first and the group columns. Groups of any size: ranks are made in two levels, by buckets of the score.
     """
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    rows = ids.withColumn("score", score).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("held", F.sum(F.col("held_first").cast("int")).over(w))
-    rows = rows.withColumn("rank", F.row_number().over(w.orderBy((~F.col("held_first")).cast("int"), "score", "id")))
-    rows = rows.withColumn("e", held_out_count(F.col("n"))).withColumn("e", F.when(2 * F.col("e") >= F.col("n"), 1).otherwise(F.col("e")))
-    rows = rows.withColumn("v", F.greatest(F.col("e"), F.col("held") - F.col("e")))
-    return rows.withColumn("split", F.when(F.col("rank") <= F.col("e"), TEST).when(F.col("rank") <= F.col("e") + F.col("v"), VAL).otherwise(TRAIN)).drop("n", "held", "rank", "e", "v")
+    return dealt(ids, score, by).drop("group_size")
 
 
 def by_threshold(ids: DataFrame, score: Column) -> DataFrame:
@@ -44,9 +50,8 @@ def stratified(ids: DataFrame, score: Column, stratum: str, least: int = 3) -> D
     size = ids.groupBy(F.col(stratum).alias("of")).agg(F.count(F.lit(1)).alias("size"))
     rows = ids.join(size, F.col(stratum).eqNullSafe(F.col("of"))).drop("of")
     pooled = rows.withColumn("pool", F.when(F.col("size") < least, F.lit("")).otherwise(F.concat(F.lit("="), F.col(stratum).cast("string"))))
-    dealt = deal(pooled, score, ["pool"]).withColumn("pool_size", F.count(F.lit(1)).over(W.partitionBy("pool")))
-    small = F.col("pool_size") < least
-    return dealt.withColumn("split", F.when(small & F.col("held_first"), TEST).when(small, TRAIN).otherwise(F.col("split"))).drop("size", "pool", "pool_size")
+    small = F.col("group_size") < least
+    return dealt(pooled, score, ["pool"]).withColumn("split", F.when(small & F.col("held_first"), TEST).when(small, TRAIN).otherwise(F.col("split"))).drop("size", "pool", "group_size")
 
 
 def scene_counts(total: Column) -> Column:
