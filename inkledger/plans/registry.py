@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkledger.plans import layout, reading
+from inkledger.plans import layout, reading, reports
 
-PAIRS = {**reading.PAIRS, **layout.PAIRS}
+PAIRS = {**reading.PAIRS, **layout.PAIRS, **reports.PAIRS}
 
 
 def queries():
