@@ -239,13 +239,17 @@ def pair_up(percent: int, most: int):
 
     As nodes are hashes, groups of the same sets have the same first one, and what their pairs link is contracted before anything else is compared.
     """
-    names = ["a", "b", "key"]
+    names = ["a", "b", "key", "n", "most"]
+
+    def partner(n: int, stands: int, at: int) -> int:
+        """The size up to which a set can link under a key, as only what follows the key can be shared besides it."""
+        return (100 + percent) * (stands + n - at - 1) // percent - n
 
     def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, bytes, int, int]] = []
         state = {"key": None, "large": False, "last": None}
         pairs: list[tuple[bytes, bytes]] = []
-        large: list[tuple[bytes, int]] = []
+        large: list[tuple[bytes, int, int, int]] = []
 
         def close() -> None:
             if state["large"]:
@@ -260,10 +264,14 @@ def pair_up(percent: int, most: int):
 
         def out() -> pa.RecordBatch:
             own = list(set(pairs))
+            blank = [None] * len(own)
             done = pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in own] + [r[0] for r in large], pa.binary()), pa.array([p[1] for p in own] + [None] * len(large), pa.binary()), pa.array([None] * len(own) + [r[1] for r in large], pa.int64())],
+                [
+                    pa.array([p[0] for p in own] + [r[0] for r in large], pa.binary()), pa.array([p[1] for p in own] + [None] * len(large), pa.binary()),
+                    *[pa.array(blank + [r[i] for r in large], kind) for i, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()))],
+                ],
                 names,
-            )
+            )
             pairs.clear()
             large.clear()
             return done
@@ -287,12 +295,12 @@ def pair_up(percent: int, most: int):
                     continue
                 state["last"] = node
                 if state["large"]:
-                    large.append((node, key))
+                    large.append((node, key, n, partner(n, stands, at)))
                     pairs.append((group[0][1], node))
                 else:
                     group.append((n, node, stands, at))
                     if len(group) > most:
-                        large.extend((g[1], key) for g in group)
+                        large.extend((g[1], key, g[0], partner(g[0], g[2], g[3])) for g in group)
                         pairs.extend((group[0][1], g[1]) for g in group[1:])
                         state["large"] = True
                 if len(large) + len(pairs) > 20_000:
@@ -434,6 +442,20 @@ def in_blocks(members: DataFrame, block: int) -> DataFrame:
     return groups.withColumn("outers", blocks(F.col("all") - F.col("held"))).withColumn("inners", blocks(F.col("held")))
 
 
+def fitting(members: DataFrame, percent: int) -> DataFrame:
+    """Members that can link, by sizes and places of the key, with one of their group outside its largest component, or, outside it themselves, with any.
+
+    `most` is the size up to which a member can have a partner under its key. The others lose nothing: a link is found under the first tokens that its sets share, where both fit. Lists hold a group's distinct sizes, not its members.
+    """
+    sizes = members.groupBy("key", "root").count()
+    main = sizes.groupBy(F.col("key").alias("of")).agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    members = members.join(main, F.col("key") == F.col("of")).withColumn("outer", F.col("root") != F.col("main")).drop("of", "main")
+    by_size = members.groupBy(F.col("key").alias("of"), F.col("n").alias("size"), F.col("outer").alias("out")).agg(F.max("most").alias("up"))
+    lists = by_size.groupBy("of").agg(F.collect_list(F.struct("size", "up", "out")).alias("sizes"))
+    fits = lambda s: (s["out"] | F.col("outer")) & (s["size"] <= F.col("most")) & (s["up"] >= F.col("n")) & (100 * s["size"] >= percent * F.col("n")) & (100 * F.col("n") >= percent * s["size"])
+    return members.join(lists, F.col("key") == F.col("of")).filter(F.exists("sizes", fits)).drop("of", "sizes", "outer")
+
+
 def pivot_pairs(members: DataFrame, turn: int, pivots: int) -> DataFrame:
     """Pairs of each group's members with its pivots of this turn, where they stand in different components.
 
@@ -452,7 +474,7 @@ def contracted(members: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     moved = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     moved = moved.select(F.col("node").alias("of"), F.col("root").alias("new"))
-    return still_apart(members.join(moved, F.col("root") == F.col("of"), "left").select("key", "node", F.coalesce("new", "root").alias("root")))
+    return still_apart(members.join(moved, F.col("root") == F.col("of"), "left").select("key", "node", "n", "most", F.coalesce("new", "root").alias("root")))
 
 
 def large_links(members: DataFrame, links: DataFrame, sets_of: Sets, limits: Limits) -> DataFrame:
@@ -469,10 +491,11 @@ def large_links(members: DataFrame, links: DataFrame, sets_of: Sets, limits: Lim
         if turn < 0:
             stars = stash(components(links).select(F.col("root").alias("a"), F.col("node").alias("b")), "stars")
             links = stars.select("a", "b")
-            members = still_apart(members.join(stars, F.col("node") == F.col("b"), "left").select("key", "node", F.coalesce("a", "node").alias("root")))
+            members = still_apart(members.join(stars, F.col("node") == F.col("b"), "left").select("key", "node", "n", "most", F.coalesce("a", "node").alias("root")))
         else:
             new = sets_of.links(pivot_pairs(members, turn, limits.pivots))
             links, members = links.unionAll(new), contracted(members, new)
+    members = still_apart(fitting(members, sets_of.percent))
     placed = members.join(in_blocks(members, limits.block), F.col("key") == F.col("of")).withColumn("outer", F.col("root") != F.col("main"))
     at = F.when(F.col("outer"), F.pmod(F.xxhash64("node"), F.col("outers"))).otherwise(F.col("outers") + F.pmod(F.xxhash64("node"), F.col("inners"))).cast("int")
     # an outer block meets every block, an inner one the outer ones only
@@ -497,11 +520,11 @@ def classes_and_links(docs: DataFrame, text: str, width: int, percent: int, limi
     shared = spark.sparkContext.broadcast((top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy()))  # FREQUENT_MOST at most
     keys = rows.select("text").mapInArrow(index(width, percent, shared, limits.pair_size), "key long, node binary, n int, stands int, at int")
     grouped = keys.repartition("key").sortWithinPartitions("key", "node")
-    found = stash(grouped.mapInArrow(pair_up(percent, limits.group), "a binary, b binary, key long"), "candidates")
+    found = stash(grouped.mapInArrow(pair_up(percent, limits.group), "a binary, b binary, key long, n int, most int"), "candidates")
     nodes = classes.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in (*SKETCH, "wide")])
     sets_of = Sets(rows, stash(nodes, "nodes"), width, percent)
     links = sets_of.links(found.filter("b is not null"))
-    members = found.filter("b is null").select("key", F.col("a").alias("node"))
+    members = found.filter("b is null").select("key", F.col("a").alias("node"), "n", "most")
     return classes, links if members.isEmpty() else large_links(members, links, sets_of, limits)
 
 
