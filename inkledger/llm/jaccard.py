@@ -53,7 +53,7 @@ class Limits(NamedTuple):
     #: Sets of more tokens have single frequent tokens as keys, others pairs.
     pair_size: int = 300
     #: Groups of more sets go by blocks, of so many sets.
-    group: int = 64
+    group: int = 16
     block: int = 512
     #: Before that, while a set would meet more than so many others there, come turns with so many pivots.
     meet: int = 256
@@ -65,6 +65,8 @@ LIMITS = Limits()
 #: Stands for a null doc_id in keys.
 NO_ID = -(1 << 62)
 COUNT_AT_ONCE = 3_000_000
+#: Pairs that a task remembers, so that it seldom repeats those which meet under many keys.
+KNOWN_PAIRS = 200_000
 COLUMNS_AT_ONCE = 8192
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Sets of more tokens have a wide sketch besides, of a bit or two a token.
@@ -234,10 +236,47 @@ def index(width: int, percent: int, shared, pair_size: int):
     return index_batches
 
 
+class Fits:
+    """Of a large group's members, in order of size, those that can link with another one by sizes and places of the key.
+
+    What waits for a larger partner is at most one member of each size, as two of one size that may have larger ones fit each other.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.seen: dict[int, int] = {}  # of sizes in reach, the largest partner that a member may have
+        self.waiting: dict[int, tuple[bytes, int, int]] = {}
+        self.low = 0
+
+    def add(self, node: bytes, n: int, most: int) -> list[tuple[bytes, int, int]]:
+        """(node, n, most) of the members that are now known to fit: this one and those that waited for it."""
+        low = -(-self.percent * n // 100)
+        if low > self.low:
+            self.low = low
+            for sizes in (self.seen, self.waiting):
+                for m in [m for m in sizes if m < low]:
+                    del sizes[m]
+        own = (node, n, most)
+        if n <= most and self.seen.get(n, 0) >= n:
+            found = [own]
+        elif most >= low and any(m <= most and up >= n for m, up in self.seen.items()):
+            found = [own]
+        else:
+            found = []
+        if found and self.waiting:
+            met = [m for m, w in self.waiting.items() if m <= most and w[2] >= n]
+            found += [self.waiting.pop(m) for m in met]
+        if most >= n:
+            self.seen[n] = max(self.seen.get(n, 0), most)
+            if not found:
+                self.waiting[n] = own
+        return found
+
+
 def pair_up(percent: int, most: int):
-    """Candidates of a table sorted by key and node: pairs of small groups; members of groups with more than `most` sets, and their pairs with the first of them.
+    """Candidates of a table sorted by key, size and node: pairs of small groups; of groups with more than `most` sets, the members that can link there, and pairs of each with the first one of its size, and of that with the first of the size before.
 
-    As nodes are hashes, groups of the same sets have the same first one, and what their pairs link is contracted before anything else is compared.
+    As nodes are hashes, groups of the same sets have the same first ones, and what their pairs link is contracted before anything else is compared.
     """
     names = ["a", "b", "key", "n", "most"]
 
@@ -245,25 +284,41 @@ def pair_up(percent: int, most: int):
         """The size up to which a set can link under a key, as only what follows the key can be shared besides it."""
         return (100 + percent) * (stands + n - at - 1) // percent - n
 
+    def near(x: tuple[int, bytes, int, int], y: tuple[int, bytes, int, int]) -> bool:
+        (n, _, stands, p), (m, _, _, q) = x, y
+        return percent * m <= 100 * n and stands + min(n - p, m - q) - 1 >= pair_overlap(n, m, percent)
+
     def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, bytes, int, int]] = []
-        state = {"key": None, "large": False, "last": None}
+        state = {"key": None, "large": None, "last": None, "first": None}
         pairs: list[tuple[bytes, bytes]] = []
+        known: set[tuple[bytes, bytes]] = set()  # pairs that this task has put out
         large: list[tuple[bytes, int, int, int]] = []
 
         def close() -> None:
             if state["large"]:
                 return
-            group.sort()
-            for i, (n, x, stands, p) in enumerate(group):
-                for m, y, _, q in group[i + 1 :]:
-                    if percent * m > 100 * n:
+            for i, x in enumerate(group):
+                for y in group[i + 1 :]:
+                    if percent * y[0] > 100 * x[0]:
                         break
-                    if stands + min(n - p, m - q) - 1 >= pair_overlap(n, m, percent):
-                        pairs.append((x, y) if x < y else (y, x))
+                    if near(x, y):
+                        pairs.append((x[1], y[1]) if x[1] < y[1] else (y[1], x[1]))
+
+        def more(member: tuple[int, bytes, int, int]) -> None:
+            n, node, stands, at = member
+            large.extend((x, state["key"], m, up) for x, m, up in state["large"].add(node, n, partner(n, stands, at)))
+            first = state["first"]
+            if first is not None and near(first, member):
+                pairs.append((first[1], node) if first[1] < node else (node, first[1]))
+            if first is None or first[0] != n:
+                state["first"] = member
 
         def out() -> pa.RecordBatch:
-            own = list(set(pairs))
+            if len(known) > KNOWN_PAIRS:
+                known.clear()
+            own = list(set(pairs) - known)
+            known.update(own)
             blank = [None] * len(own)
             done = pa.RecordBatch.from_arrays(
                 [
@@ -290,19 +345,18 @@ def pair_up(percent: int, most: int):
                 if key != state["key"]:
                     close()
                     group.clear()
-                    state.update(key=key, large=False, last=None)
+                    state.update(key=key, large=None, last=None, first=None)
                 if node == state["last"]:
                     continue
                 state["last"] = node
                 if state["large"]:
-                    large.append((node, key, n, partner(n, stands, at)))
-                    pairs.append((group[0][1], node))
+                    more((n, node, stands, at))
                 else:
                     group.append((n, node, stands, at))
                     if len(group) > most:
-                        large.extend((g[1], key, g[0], partner(g[0], g[2], g[3])) for g in group)
-                        pairs.extend((group[0][1], g[1]) for g in group[1:])
-                        state["large"] = True
+                        state["large"] = Fits(percent)
+                        for member in group:
+                            more(member)
                 if len(large) + len(pairs) > 20_000:
                     yield out()
         close()
@@ -482,19 +536,16 @@ def large_links(members: DataFrame, links: DataFrame, sets_of: Sets, limits: Lim
 
     Groups are compared in blocks: the members outside a group's largest component against all members. While a member would meet more than Limits.meet others there on average, groups meet a few pivots instead, whatever their size, and components are contracted; pairs inside a component need no comparison.
     """
-    members = members.withColumn("root", F.col("node"))
-    for turn in range(-1, limits.turns):
+    stars = stash(components(links).select(F.col("root").alias("a"), F.col("node").alias("b")), "stars")
+    links = stars.select("a", "b")
+    members = still_apart(members.join(stars, F.col("node") == F.col("b"), "left").select("key", "node", "n", "most", F.coalesce("a", "node").alias("root")))
+    for turn in range(limits.turns):
         compared = (F.col("all") - F.col("held")).cast("double") * F.col("all")
         meet, had = in_blocks(members, limits.block).agg(F.coalesce(F.sum(compared), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
         if meet <= limits.meet * had:
             break
-        if turn < 0:
-            stars = stash(components(links).select(F.col("root").alias("a"), F.col("node").alias("b")), "stars")
-            links = stars.select("a", "b")
-            members = still_apart(members.join(stars, F.col("node") == F.col("b"), "left").select("key", "node", "n", "most", F.coalesce("a", "node").alias("root")))
-        else:
-            new = sets_of.links(pivot_pairs(members, turn, limits.pivots))
-            links, members = links.unionAll(new), contracted(members, new)
+        new = sets_of.links(pivot_pairs(members, turn, limits.pivots))
+        links, members = links.unionAll(new), contracted(members, new)
     members = still_apart(fitting(members, sets_of.percent))
     placed = members.join(in_blocks(members, limits.block), F.col("key") == F.col("of")).withColumn("outer", F.col("root") != F.col("main"))
     at = F.when(F.col("outer"), F.pmod(F.xxhash64("node"), F.col("outers"))).otherwise(F.col("outers") + F.pmod(F.xxhash64("node"), F.col("inners"))).cast("int")
@@ -519,7 +570,7 @@ def classes_and_links(docs: DataFrame, text: str, width: int, percent: int, limi
     top = often.orderBy(F.desc("seen"), "token").limit(FREQUENT_MOST).toArrow()
     shared = spark.sparkContext.broadcast((top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy()))  # FREQUENT_MOST at most
     keys = rows.select("text").mapInArrow(index(width, percent, shared, limits.pair_size), "key long, node binary, n int, stands int, at int")
-    grouped = keys.repartition("key").sortWithinPartitions("key", "node")
+    grouped = keys.repartition("key").sortWithinPartitions("key", "n", "node")
     found = stash(grouped.mapInArrow(pair_up(percent, limits.group), "a binary, b binary, key long, n int, most int"), "candidates")
     nodes = classes.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in (*SKETCH, "wide")])
     sets_of = Sets(rows, stash(nodes, "nodes"), width, percent)

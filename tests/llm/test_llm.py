@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -568,3 +569,26 @@ def test_wide_sketches_never_differ_more_than_sets():
         assert apart <= n + m - 2 * len(np.intersect1d(x, y))
         assert common or apart > 1000
     assert jaccard.wide_sketch(np.arange(jaccard.WIDE, dtype=np.uint64)) is None
+
+
+def rows_under_a_key(sizes, at, percent=80):
+    """What pair_up makes of sets of some sizes under one rare key at some places: pairs and members."""
+    rows = sorted((n, hashlib.blake2b(str(i).encode(), digest_size=16).digest(), p) for i, (n, p) in enumerate(zip(sizes, at, strict=True)))
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+    columns = [[7] * len(rows), [r[1] for r in rows], [r[0] for r in rows], [1] * len(rows), [r[2] for r in rows]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "node", "n", "stands", "at"])
+    out = [r for b in jaccard.pair_up(percent, 4)(iter([batch.slice(0, 5), batch.slice(5)])) for r in b.to_pylist()]
+    return rows, [r for r in out if r["b"] is not None], [r for r in out if r["b"] is None]
+
+
+def test_members_that_fit_nobody_leave_large_groups():
+    # sets of 100 tokens whose common key stands so late that they cannot share 80% of their tokens
+    _, pairs, members = rows_under_a_key([100] * 50, [30] * 50)
+    assert not pairs and not members
+    random = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = random.integers(20, 400, 40).tolist()
+        rows, _, members = rows_under_a_key(sizes, [int(random.integers(0, n // 4)) for n in sizes])
+        up = lambda n, p: 180 * (n - p) // 80 - n
+        fits = lambda x, y: 80 * max(x[0], y[0]) <= 100 * min(x[0], y[0]) and y[0] <= up(x[0], x[2]) and x[0] <= up(y[0], y[2])
+        assert sorted(r["a"] for r in members) == sorted(x[1] for i, x in enumerate(rows) if any(fits(x, y) for k, y in enumerate(rows) if k != i))
