@@ -41,6 +41,8 @@ LONGEST_AT_ONCE = 24
 #: A character without a piece is this plus its code point until its bytes are written.
 OUTSIDE = 1 << 24
 OUTSIDE_WEIGHT = -25.0
+#: First bits of a hash, by which pieces are looked up.
+HASH_BITS = 20
 TEXT_BYTES = 2 << 20
 ID_BYTES = 4
 
@@ -81,11 +83,34 @@ class Vocabulary:
         self.keys, self.key_ids = keys[order], np.fromiter(self.ids.values(), np.int64, len(self.ids))[order]
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a hash")
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of hashed pieces, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.key_ids[at], -1)
+        place = (self.keys >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        first, count = np.unique(place, return_index=True, return_counts=True)[1:]
+        self.first = np.zeros(1 << HASH_BITS, np.int32)
+        self.first[place[first]] = first
+        self.crowd = int(count.max())
+        #: By first bits of a hash: 1 if it may be a piece, 2 if a longer piece may begin so.
+        self.kind = np.zeros(1 << HASH_BITS, np.uint8)
+        self.kind[place] = 1
+        begins = sorted({p[:k] for p in self.ids for k in range(1, len(p))})
+        by_size: dict[int, list[str]] = {}
+        for p in begins:
+            by_size.setdefault(len(p), []).append(p)
+        for size, own in by_size.items():
+            codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), size)
+            self.kind[fold(codes) >> np.uint64(64 - HASH_BITS)] |= 2
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the hashes that are pieces, and their ids; and places of those that longer pieces may begin with."""
+        place = (keys >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        kind = self.kind[place]
+        likely = np.flatnonzero(kind & 1)
+        own, at = keys[likely], self.first[place[likely]]
+        found = np.full(len(likely), -1, np.int64)
+        for k in range(self.crowd):
+            near = np.minimum(at + k, len(self.keys) - 1)
+            found = np.where(self.keys[near] == own, near, found)
+        good = found >= 0
+        return likely[good], self.key_ids[found[good]], np.flatnonzero(kind & 2)
 
 
 @lru_cache(maxsize=2)
@@ -115,25 +140,37 @@ def filter_chunks(v: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndar
     """For chunks of one length: of each end and piece length, the cumulative chance of that last piece, and its id."""
     n, length = codes.shape
     most = min(length, v.longest)
-    ids = np.full((n, length, most), -1, np.int64)
-    for start in range(length):
-        h = np.zeros(n, np.uint64)
-        for size in range(1, min(most, length - start) + 1):
-            h = step_hash(h, codes[:, start + size - 1])
-            ids[:, start + size - 1, size - 1] = v.find(h)
-    alone = ids[:, :, 0] < 0
-    ids[:, :, 0] = np.where(alone, OUTSIDE + codes, ids[:, :, 0])
-    weight = np.where(ids >= OUTSIDE, OUTSIDE_WEIGHT, np.where(ids >= 0, v.weight[np.where((ids >= 0) & (ids < OUTSIDE), ids, 0)], -np.inf))
-    total = np.zeros((n, length + 1))
+    flat = np.ascontiguousarray(codes.T).ravel()  # character k of chunk i stands at k * n + i
+    ids = np.full((length, most, n), -1, np.int32)
+    ids[:, 0] = OUTSIDE + flat.reshape(length, n)
+    weight = np.full((length, most, n), -np.inf)
+    weight[:, 0] = OUTSIDE_WEIGHT
+    live = np.arange(length * n)
+    h = np.zeros(length * n, np.uint64)
+    for size in range(1, most + 1):
+        inside = np.searchsorted(live, (length - size + 1) * n)
+        live = live[:inside]
+        h = step_hash(h[:inside], flat[live + (size - 1) * n])
+        at, of, longer = v.find(h)
+        begin = live[at]
+        cell = ((begin // n + size - 1) * most + size - 1) * n + begin % n
+        ids.reshape(-1)[cell] = of
+        weight.reshape(-1)[cell] = v.weight[of]
+        live, h = live[longer], h[longer]
+    total = np.zeros((length + 1, n))
+    chance = np.ones((length, most, n))
     for end in range(1, length + 1):
         k = min(end, most)
         # total before a piece of size s that ends here stands at end - s
-        weight[:, end - 1, :k] += total[:, end - k : end][:, ::-1]
-        top = weight[:, end - 1].max(axis=1)
-        total[:, end] = top + np.log(np.exp(weight[:, end - 1] - top[:, None]).sum(axis=1))
-        weight[:, end - 1] -= total[:, end, None]
-    chance = np.cumsum(np.exp(weight), axis=2)
-    return chance / chance[:, :, -1:], ids
+        own = weight[end - 1, :k]
+        own += total[end - k : end][::-1]
+        top = own.max(axis=0)
+        own -= top
+        np.exp(own, out=own)
+        sums = np.cumsum(own, axis=0, out=chance[end - 1, :k])
+        total[end] = top + np.log(sums[-1])
+        sums /= sums[-1].copy()
+    return np.ascontiguousarray(chance.transpose(2, 0, 1)), np.ascontiguousarray(ids.transpose(2, 0, 1))
 
 
 def filter_long(v: Vocabulary, text: str) -> tuple[list[np.ndarray], list[list[int]]]:
@@ -179,7 +216,7 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray) -> list[np.
         while len(live):
             kind = local[chunk[live]]
             u = draw(row[live], place[live], step)
-            size = (u[:, None] >= chance[kind, end - 1]).sum(axis=1)
+            size = (chance[kind, end - 1] > u[:, None]).argmax(axis=1)  # the last one is 1
             taken.append((live, step, ids[kind, end - 1, size]))
             end = end - size - 1
             more = end > 0
@@ -203,8 +240,6 @@ def sample(v: Vocabulary, texts: list[str | None], keys: np.ndarray) -> list[np.
     return [spell(v, out[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-
-
 def spell(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """Write characters without a piece as their bytes' pieces."""
     outside = np.flatnonzero(ids >= OUTSIDE)

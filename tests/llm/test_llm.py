@@ -592,3 +592,22 @@ def test_members_that_fit_nobody_leave_large_groups():
         up = lambda n, p: 180 * (n - p) // 80 - n
         fits = lambda x, y: 80 * max(x[0], y[0]) <= 100 * min(x[0], y[0]) and y[0] <= up(x[0], x[2]) and x[0] <= up(y[0], y[2])
         assert sorted(r["a"] for r in members) == sorted(x[1] for i, x in enumerate(rows) if any(fits(x, y) for k, y in enumerate(rows) if k != i))
+
+
+def test_lattices_of_many_chunks_and_of_one(monkeypatch):
+    v = pieces.vocabulary(pieces.default_vocabulary(), pieces.SHARPNESS)
+    looked = []
+    monkeypatch.setattr(v, "find", lambda keys, find=v.find: looked.append(len(keys)) or find(keys))
+    for own in ([" thing", " other", "\tqzxjv", " 漢字ünï"[:6], " aaaaa"], [" zqxjzqxjzqxjzqxjzqxj"], ["y" * 24, " " * 24], ["é"]):
+        codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), -1).astype(np.int64)
+        looked.clear()
+        chance, ids = pieces.filter_chunks(v, codes)
+        for k, text in enumerate(own):
+            chances, of = pieces.filter_long(v, text)
+            for end in range(len(text)):
+                kept = [i for i, x in enumerate(of[end]) if x >= 0]
+                assert [int(ids[k, end, i]) for i in kept] == [of[end][i] for i in kept]
+                assert chance[k, end, : len(of[end])] == pytest.approx(chances[end][: chance.shape[2]], rel=1e-9)
+        # strings that no piece begins with are not carried on
+        if own[0].startswith(" zq"):
+            assert sum(looked) < len(own[0]) * 4
