@@ -126,14 +126,16 @@ def last_seen(checks: DataFrame, history: DataFrame) -> DataFrame:
 def autocomplete(typed: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
     """Up to `most` names for each typed text: those that begin with it, then those with a word that does, each in list order.
 
-    Texts meet only names with a beginning in common, of the text's own length up to BEGINNING characters.
+    Texts meet only names with a beginning in common, of the text's own length up to BEGINNING characters. Of names that are equal when normalized only the first `most` can be wanted. The list with its beginnings is many times its estimated size, so it is never broadcast.
     """
     t_plain, n_plain = t.normalize_free_text(F.col("typed")), t.normalize_free_text(F.col("name"))
     asked = typed.select("typed", t_plain.alias("t")).distinct().filter(F.length("t") >= 2)
     asked = asked.withColumn("key", F.left("t", F.lit(BEGINNING)))
     starts = F.concat(F.array(F.col("n")), F.split("n", " "))
     beginnings = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), F.lit(BEGINNING)), lambda k: F.left(s, k))))
-    known = names.select("name", "place", n_plain.alias("n")).withColumn("key", F.explode(F.array_distinct(beginnings)))
+    equal = F.row_number().over(W.partitionBy("n").orderBy("place"))
+    known = names.select("name", "place", n_plain.alias("n")).withColumn("equal", equal).filter(F.col("equal") <= most).drop("equal")
+    known = known.withColumn("key", F.explode(F.array_distinct(beginnings))).hint("merge")
     rank = F.when(F.col("n").startswith(F.col("t")), 0).when(F.exists(F.split("n", " "), lambda w: w.startswith(F.col("t"))), 1)
     met = asked.join(known, "key").drop("key").filter("n <> t").withColumn("kind", rank).filter("kind is not null")
     return met.withColumn("rank", F.row_number().over(W.partitionBy("typed").orderBy("kind", "place"))).filter(F.col("rank") <= most).select("typed", "rank", "name")

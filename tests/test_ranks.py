@@ -81,6 +81,14 @@ def test_autocomplete_of_long_and_spaced_texts(spark):
     assert got == [("a b", 1, "A Bee"), ("harb", 1, "Harbour Foods"), ("harb", 2, "Harbour Foods West"), ("harb", 3, "Old Harbour"), ("harbour foods w", 1, "Harbour Foods West")]
 
 
+def test_autocomplete_of_repeated_names_without_broadcast(spark, tmp_path):
+    names = [(n, 3 * i + k) for i in range(20) for k, n in enumerate(("Old Mill", "old  mill", f"Oldest {i}"))]
+    spark.createDataFrame(names[::-1], "name string, place int").write.parquet(str(tmp_path / "names"))
+    got = combination.autocomplete(spark.createDataFrame([("old",), ("mill",)], "typed string"), spark.read.parquet(str(tmp_path / "names")))
+    assert [(r.typed, r["rank"], r.name) for r in got.orderBy("typed", "rank").collect()] == [("mill", k + 1, ("Old Mill", "old  mill")[k % 2]) for k in range(6)] + [("old", k + 1, names[k][0]) for k in range(6)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keys_that_repeat_are_errors(spark):
     rows = spark.createDataFrame([("s", 0, "k")], "scene_id string, check_index int, row_key string")
     twice = spark.createDataFrame([("s", 0, 5), ("s", 0, 6)], "scene_id string, check_index int, cents int")
