@@ -53,7 +53,7 @@ class Limits(NamedTuple):
     #: Sets of more tokens have single frequent tokens as keys, others pairs.
     pair_size: int = 300
     #: Groups of more sets go by blocks, of so many sets.
-    group: int = 16
+    group: int = 64
     block: int = 512
     #: Before that, while a set would meet more than so many others there, come turns with so many pivots.
     meet: int = 256
@@ -496,20 +496,6 @@ def in_blocks(members: DataFrame, block: int) -> DataFrame:
     return groups.withColumn("outers", blocks(F.col("all") - F.col("held"))).withColumn("inners", blocks(F.col("held")))
 
 
-def fitting(members: DataFrame, percent: int) -> DataFrame:
-    """Members that can link, by sizes and places of the key, with one of their group outside its largest component, or, outside it themselves, with any.
-
-    `most` is the size up to which a member can have a partner under its key. The others lose nothing: a link is found under the first tokens that its sets share, where both fit. Lists hold a group's distinct sizes, not its members.
-    """
-    sizes = members.groupBy("key", "root").count()
-    main = sizes.groupBy(F.col("key").alias("of")).agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    members = members.join(main, F.col("key") == F.col("of")).withColumn("outer", F.col("root") != F.col("main")).drop("of", "main")
-    by_size = members.groupBy(F.col("key").alias("of"), F.col("n").alias("size"), F.col("outer").alias("out")).agg(F.max("most").alias("up"))
-    lists = by_size.groupBy("of").agg(F.collect_list(F.struct("size", "up", "out")).alias("sizes"))
-    fits = lambda s: (s["out"] | F.col("outer")) & (s["size"] <= F.col("most")) & (s["up"] >= F.col("n")) & (100 * s["size"] >= percent * F.col("n")) & (100 * F.col("n") >= percent * s["size"])
-    return members.join(lists, F.col("key") == F.col("of")).filter(F.exists("sizes", fits)).drop("of", "sizes", "outer")
-
-
 def pivot_pairs(members: DataFrame, turn: int, pivots: int) -> DataFrame:
     """Pairs of each group's members with its pivots of this turn, where they stand in different components.
 
@@ -546,7 +532,6 @@ def large_links(members: DataFrame, links: DataFrame, sets_of: Sets, limits: Lim
             break
         new = sets_of.links(pivot_pairs(members, turn, limits.pivots))
         links, members = links.unionAll(new), contracted(members, new)
-    members = still_apart(fitting(members, sets_of.percent))
     placed = members.join(in_blocks(members, limits.block), F.col("key") == F.col("of")).withColumn("outer", F.col("root") != F.col("main"))
     at = F.when(F.col("outer"), F.pmod(F.xxhash64("node"), F.col("outers"))).otherwise(F.col("outers") + F.pmod(F.xxhash64("node"), F.col("inners"))).cast("int")
     # an outer block meets every block, an inner one the outer ones only

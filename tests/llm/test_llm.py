@@ -611,3 +611,12 @@ def test_lattices_of_many_chunks_and_of_one(monkeypatch):
         # strings that no piece begins with are not carried on
         if own[0].startswith(" zq"):
             assert sum(looked) < len(own[0]) * 4
+
+
+def test_runs_of_classes_keep_order():
+    for n in (1, 7, 5000):
+        ids = np.random.default_rng(n).integers(0, lm.CLASSES + 1, n)
+        order, own, starts, roots = lm.runs_of(ids)
+        assert (order == np.argsort(ids, kind="stable")).all()
+        plain = np.unique(ids, return_counts=True)
+        assert (own == plain[0]).all() and (roots == np.sqrt(plain[1])).all() and (ids[order][starts] == own).all()
