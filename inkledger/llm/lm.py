@@ -52,9 +52,17 @@ TRAIN_CHARS = 4 << 20
 SMOOTH = 0.1
 
 
+def head_bucket(head: bytes) -> int:
+    return zlib.crc32(head.decode("utf-8", "surrogatepass")[:2].encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+ascii_bucket = lru_cache(maxsize=1 << 15)(head_bucket)
+
+
 def bucket(word: bytes) -> int:
-    """The class of a word outside the frequent ones: by its first two characters."""
-    return zlib.crc32(word.decode("utf-8", "surrogatepass")[:2].encode("utf-8", "surrogatepass")) % BUCKETS
+    """The class of a word outside the frequent ones: by its first two characters, which are its first two bytes if those are ASCII."""
+    head = word[:2]
+    return ascii_bucket(head) if head.isascii() else head_bucket(word)
 
 
 def bucket_column(word: Column) -> Column:
@@ -148,6 +156,14 @@ def initial(noise: np.ndarray) -> Vectors:
     return Vectors(draw(CLASSES), draw(CLASSES + 1), draw(CLASSES + 1), np.log(noise).astype(np.float32))
 
 
+def runs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of class ids (they fit 16 bits, so digits sort them), the distinct ones, where each begins, and the roots of their counts."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    sorted_ids = ids[order]
+    starts = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+    return order, sorted_ids[starts], starts, np.sqrt(np.diff(starts, append=len(ids)))
+
+
 class Trainer:
     """NCE by Adagrad over batches of (class, token before, token before that)."""
 
@@ -158,11 +174,10 @@ class Trainer:
         self.seen = [x.copy() for x in seen] if seen else [np.full(x.shape[0], 1e-2, np.float32) for x in vectors]
         self.random = np.random.default_rng(SEED)
 
-    def move(self, which: int, ids: np.ndarray, grads: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        own, starts = np.unique(ids[order], return_index=True)
+    def move(self, which: int, runs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], grads: np.ndarray) -> None:
+        order, own, starts, roots = runs
         g = np.add.reduceat(grads[order], starts, axis=0)
-        g /= np.sqrt(np.diff(np.append(starts, len(ids))))[:, None] if g.ndim == 2 else np.sqrt(np.diff(np.append(starts, len(ids))))
+        g /= roots[:, None] if g.ndim == 2 else roots
         self.seen[which][own] += (g * g).mean(axis=1) if g.ndim == 2 else g * g
         scale = self.rate / np.sqrt(self.seen[which][own])
         self.v[which][own] += g * (scale[:, None] if g.ndim == 2 else scale)
@@ -176,11 +191,11 @@ class Trainer:
         bad = -1 / (1 + np.exp(-(q @ v.target[n].T + v.bias[n] - self.log_kq[n])))
         back = good[:, None] * r + bad @ v.target[n]
         rows = np.concatenate([good[:, None] * q, bad.T @ q])
-        both = np.concatenate([w, n])
+        both = runs_of(np.concatenate([w, n]))
         self.move(0, both, rows)
         self.move(3, both, np.concatenate([good, bad.sum(axis=0)]))
-        self.move(1, a, back)
-        self.move(2, b, back)
+        self.move(1, runs_of(a), back)
+        self.move(2, runs_of(b), back)
 
     def fit(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         for at in range(0, len(ids), BATCH):
