@@ -175,16 +175,20 @@ class Order:
         return out
 
 
-def keys_of(tokens: np.ndarray, weights: np.ndarray, percent: int, pair_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of a set: key, how many shared tokens it stands for, position of the last of them."""
+def keys_of(tokens: np.ndarray, weights: np.ndarray, percent: int, pair_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of a set: key, how many shared tokens it stands for, position of the last of them, and a token before (0: none).
+
+    Sets that share the key and the token before also share a key that comes earlier in the order, so they meet there.
+    """
     n = len(tokens)
     if n < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     short = n - least_overlap(n, percent) + 1
     order = np.argsort(weights, kind="stable")[: min(n, short + 1)]
     prefix, heavy = tokens[order], weights[order] > 0
+    before = lambda at: np.where(at > 0, prefix[at - 1], np.uint64(0))
     rare = np.flatnonzero(~heavy[:short])
-    keys, stands, at = [prefix[rare]], [np.ones(len(rare), np.int64)], [rare]
+    keys, stands, places, earlier = [prefix[rare]], [np.ones(len(rare), np.int64)], [rare], [before(rare)]
     often = np.flatnonzero(heavy)
     if len(often) and percent * n <= 100 * pair_size:
         first, second = np.triu_indices(len(often), 1)
@@ -193,13 +197,16 @@ def keys_of(tokens: np.ndarray, weights: np.ndarray, percent: int, pair_size: in
         first, second = first[fits], second[fits]
         keys.append(mix(prefix[first] * np.uint64(0x9E6C63D0876A9A47) + prefix[second]))
         stands.append(np.full(len(first), 2, np.int64))
-        at.append(second)
+        places.append(second)
+        # a pair that begins with the first frequent token has, with it, the pair of that one and the token before its second
+        earlier.append(np.where((first == often[0]) & (second > first + 1), prefix[second - 1], before(first)))
     if len(often) and 100 * n > percent * pair_size:
         single = often[often < short]
         keys.append(mix(prefix[single]))
         stands.append(np.ones(len(single), np.int64))
-        at.append(single)
-    return np.concatenate(keys), np.concatenate(stands), np.concatenate(at)
+        places.append(single)
+        earlier.append(before(single))
+    return np.concatenate(keys), np.concatenate(stands), np.concatenate(places), np.concatenate(earlier)
 
 
 def index(width: int, percent: int, shared, pair_size: int):
@@ -228,9 +235,9 @@ def index(width: int, percent: int, shared, pair_size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), pa.array([x for _, x in fresh], pa.binary()).take(spread), pa.array(sizes.astype(np.int32)),
-                        pa.array(np.concatenate([r[1] for r in rows]).astype(np.int32)), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)),
+                        pa.array(np.concatenate([r[1] for r in rows]).astype(np.int32)), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32)), pa.array(np.concatenate([r[3] for r in rows]).view(np.int64)),
                     ],
-                    ["key", "node", "n", "stands", "at"],
+                    ["key", "node", "n", "stands", "at", "before"],
                 )
 
     return index_batches
@@ -276,6 +283,7 @@ class Fits:
 def pair_up(percent: int, most: int):
     """Candidates of a table sorted by key, size and node: pairs of small groups; of groups with more than `most` sets, the members that can link there, and pairs of each with the first one of its size, and of that with the first of the size before.
 
+    A pair whose sets name the same token before the key shares an earlier key and is left to that one, so it comes out of few tasks, not of all that its keys are dealt to.
     As nodes are hashes, groups of the same sets have the same first ones, and what their pairs link is contracted before anything else is compared.
     """
     names = ["a", "b", "key", "n", "most"]
@@ -284,12 +292,12 @@ def pair_up(percent: int, most: int):
         """The size up to which a set can link under a key, as only what follows the key can be shared besides it."""
         return (100 + percent) * (stands + n - at - 1) // percent - n
 
-    def near(x: tuple[int, bytes, int, int], y: tuple[int, bytes, int, int]) -> bool:
-        (n, _, stands, p), (m, _, _, q) = x, y
-        return percent * m <= 100 * n and stands + min(n - p, m - q) - 1 >= pair_overlap(n, m, percent)
+    def near(x: tuple[int, bytes, int, int, int], y: tuple[int, bytes, int, int, int]) -> bool:
+        (n, _, stands, p, before), (m, _, _, q, other) = x, y
+        return (before != other or not before) and percent * m <= 100 * n and stands + min(n - p, m - q) - 1 >= pair_overlap(n, m, percent)
 
     def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, bytes, int, int]] = []
+        group: list[tuple[int, bytes, int, int, int]] = []
         state = {"key": None, "large": None, "last": None, "first": None}
         pairs: list[tuple[bytes, bytes]] = []
         known: set[tuple[bytes, bytes]] = set()  # pairs that this task has put out
@@ -305,8 +313,8 @@ def pair_up(percent: int, most: int):
                     if near(x, y):
                         pairs.append((x[1], y[1]) if x[1] < y[1] else (y[1], x[1]))
 
-        def more(member: tuple[int, bytes, int, int]) -> None:
-            n, node, stands, at = member
+        def more(member: tuple[int, bytes, int, int, int]) -> None:
+            n, node, stands, at, _ = member
             large.extend((x, state["key"], m, up) for x, m, up in state["large"].add(node, n, partner(n, stands, at)))
             first = state["first"]
             if first is not None and near(first, member):
@@ -341,22 +349,23 @@ def pair_up(percent: int, most: int):
                 same[0] = same[-1] = True
             some = np.flatnonzero(same)
             part = batch.take(pa.array(some))
-            for key, node, n, stands, at in zip(keys[some].tolist(), part.column("node").to_pylist(), part.column("n").to_pylist(), part.column("stands").to_pylist(), part.column("at").to_pylist(), strict=True):
+            before = part.column("before").to_pylist() if "before" in part.schema.names else [0] * len(some)
+            for key, *member in zip(keys[some].tolist(), *(part.column(c).to_pylist() for c in ("n", "node", "stands", "at")), before, strict=True):
                 if key != state["key"]:
                     close()
                     group.clear()
                     state.update(key=key, large=None, last=None, first=None)
-                if node == state["last"]:
+                if member[1] == state["last"]:
                     continue
-                state["last"] = node
+                state["last"] = member[1]
                 if state["large"]:
-                    more((n, node, stands, at))
+                    more(member)
                 else:
-                    group.append((n, node, stands, at))
+                    group.append(member)
                     if len(group) > most:
                         state["large"] = Fits(percent)
-                        for member in group:
-                            more(member)
+                        for held in group:
+                            more(held)
                 if len(large) + len(pairs) > 20_000:
                     yield out()
         close()
@@ -554,7 +563,7 @@ def classes_and_links(docs: DataFrame, text: str, width: int, percent: int, limi
     often = seen.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= limits.frequent)
     top = often.orderBy(F.desc("seen"), "token").limit(FREQUENT_MOST).toArrow()
     shared = spark.sparkContext.broadcast((top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy()))  # FREQUENT_MOST at most
-    keys = rows.select("text").mapInArrow(index(width, percent, shared, limits.pair_size), "key long, node binary, n int, stands int, at int")
+    keys = rows.select("text").mapInArrow(index(width, percent, shared, limits.pair_size), "key long, node binary, n int, stands int, at int, before long")
     grouped = keys.repartition("key").sortWithinPartitions("key", "n", "node")
     found = stash(grouped.mapInArrow(pair_up(percent, limits.group), "a binary, b binary, key long, n int, most int"), "candidates")
     nodes = classes.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in (*SKETCH, "wide")])

@@ -620,3 +620,29 @@ def test_runs_of_classes_keep_order():
         assert (order == np.argsort(ids, kind="stable")).all()
         plain = np.unique(ids, return_counts=True)
         assert (own == plain[0]).all() and (roots == np.sqrt(plain[1])).all() and (ids[order][starts] == own).all()
+
+
+def test_pairs_come_out_of_few_tasks():
+    """Near copies share many keys, dealt to as many tasks; where they first meet they are never passed over."""
+    texts = [t for i, t in near_copies(60, 7)] + [" ".join(f"w{i}" for i in range(k, k + 60)) for k in range(0, 20, 3)]
+    for width, percent, pair_size, often in ((3, 90, 300, 8), (5, 80, 300, 8), (5, 80, 300, 30), (5, 80, 0, 8), (5, 80, 50, 8), (1, 60, 300, 3)):
+        found = {jaccard.name_of(s): s for s in jaccard.sets(texts, width)}
+        tokens, seen = np.unique(np.concatenate(list(found.values())), return_counts=True)
+        order = jaccard.Order(tokens[seen >= often], seen[seen >= often])
+        rows = []
+        for node, s in found.items():
+            rows += [(int(k.view(np.int64)), node, len(s), int(c), int(p), int(b.view(np.int64))) for k, c, p, b in zip(*jaccard.keys_of(s, order.weights(s), percent, pair_size), strict=True)]
+        keys = {k for k, *_ in rows}
+        out = []
+        for key in keys:  # a task each
+            own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1]))
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own, strict=True), kinds, strict=True)], ["key", "node", "n", "stands", "at", "before"])
+            out += [(r["a"], r["b"]) for b in jaccard.pair_up(percent, 1000)(iter([batch])) for r in b.to_pylist()]
+        nodes = sorted(found)
+        links = {(x, y) for i, x in enumerate(nodes) for y in nodes[i + 1 :] if jaccard.linked(found[x], found[y], percent)}
+        assert links and links <= set(out)
+        shared = sum(len({r[0] for r in rows if r[1] == x} & {r[0] for r in rows if r[1] == y}) for x, y in links)
+        if (width, pair_size, often) == (5, 300, 30):
+            again = sum(p in links for p in out)
+            assert again < 0.35 * shared, (again, shared)
