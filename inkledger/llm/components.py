@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from inkledger.llm.common import drop_stash, stash
 
+#: A file of links holds about so many, so that few links do not make a file for each shuffle partition in every round.
+LINKS_A_FILE = 20_000
+
 
 def both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -30,13 +33,15 @@ def small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node reachable, for nodes (of any ordered type) that have links a, b."""
     now, mark = stash(links.select("a", "b").filter("a <> b").distinct(), "links"), None
+    held = now.count()
     for _ in range(most_rounds):
-        new = stash(small_star(large_star(now)), "links")
+        # all that a round reads is its links; a round makes at most two of one
+        new = stash(small_star(large_star(now)).coalesce(1 + 2 * held // LINKS_A_FILE), "links")
         drop_stash(now)
         now = new
         # stars are stable when every link runs from a root that is nobody's leaf
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        mark = seen
+        mark, held = seen, seen[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

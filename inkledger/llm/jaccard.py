@@ -68,6 +68,9 @@ COUNT_AT_ONCE = 3_000_000
 #: Pairs that a task remembers, so that it seldom repeats those which meet under many keys.
 KNOWN_PAIRS = 200_000
 COLUMNS_AT_ONCE = 8192
+#: Bytes of text whose sets a task makes at once, and nodes that it remembers.
+TEXT_AT_ONCE = 2 << 20
+KNOWN_NODES = 200_000
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Sets of more tokens have a wide sketch besides, of a bit or two a token.
 WIDE = 256
@@ -136,7 +139,7 @@ def survey(width: int):
         held, size = [], 0
         known: set[bytes | None] = set()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=TEXT_AT_ONCE):
                 found = sets(batch.column("text").to_pylist(), width)
                 nodes = [name_of(s) for s in found]
                 nulls = lambda kind, n=len(found): pa.nulls(n, kind)
@@ -214,7 +217,7 @@ def index(width: int, percent: int, shared, pair_size: int):
         order = Order(*shared.value)
         known: set[bytes] = set()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=TEXT_AT_ONCE):
                 found = sets(batch.column("text").to_pylist(), width)
                 nodes = [name_of(s) for s in found]
                 fresh = []
@@ -222,7 +225,7 @@ def index(width: int, percent: int, shared, pair_size: int):
                     if node is not None and node not in known:
                         known.add(node)
                         fresh.append((s, node))
-                if len(known) > 1_000_000:
+                if len(known) > KNOWN_NODES:
                     known.clear()
                 if not fresh:
                     continue
@@ -379,7 +382,7 @@ def packed(width: int):
 
     def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_AT_ONCE):
                 found = sets(part.column("text").to_pylist(), width)
                 good = pa.array([name_of(s) == node for s, node in zip(found, part.column("node").to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "tokens"]).filter(good)

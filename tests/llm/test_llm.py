@@ -646,3 +646,23 @@ def test_pairs_come_out_of_few_tasks():
         if (width, pair_size, often) == (5, 300, 30):
             again = sum(p in links for p in out)
             assert again < 0.35 * shared, (again, shared)
+
+
+def test_few_links_make_few_files(spark, monkeypatch):
+    """Rounds over few links write few files, whatever the shuffle partitions are; over many, as many as these."""
+    files = []
+    monkeypatch.setattr(components, "stash", lambda df, name, to=components.stash: files.append(len((out := to(df, name)).inputFiles())) or out)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.range(300).selectExpr("id a", "id + 10 b")
+        for most, low, high in ((1000, 1, 1), (10, 30, 40)):
+            files.clear()
+            monkeypatch.setattr(components, "LINKS_A_FILE", most)
+            got = {r["node"]: r["root"] for r in components.components(links).collect()}
+            assert got == {i: i % 10 for i in range(10, 310)}
+            assert all(low <= n <= high for n in files[1:]), files
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
